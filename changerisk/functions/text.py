@@ -31,17 +31,17 @@ def history_path(path: Column) -> Column:
 def file_suffix(path: Column) -> Column:
     """Lower-cased suffix with its dot; '' for dot files, trailing dots and plain names."""
     name = F.substring_index(path, "/", -1)
-    return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
+    end = F.substring_index(name, ".", -1)
+    has_suffix = (F.length(end) > 0) & (F.length(name) - F.length(end) >= 2)
+    return F.when(has_suffix, F.concat(F.lit("."), F.lower(end))).otherwise(F.when(path.isNotNull(), ""))
 
 
 def file_is_relevant(path: Column, suffixes: Suffixes) -> Column:
     """Whether the suffix is in the set; the set may be a column of arrays. Null paths are not."""
-    suffix = file_suffix(path)
     if isinstance(suffixes, Column):
-        hit = F.array_contains(suffixes, suffix)
-    else:
-        hit = suffix.isin(*suffixes)
-    return F.coalesce(hit, F.lit(False))
+        return F.coalesce(F.array_contains(suffixes, file_suffix(path)), F.lit(False))
+    ends = "|".join(f"\\Q{suffix}\\E" for suffix in suffixes)
+    return F.coalesce(F.lower(path).rlike(rf"[^/](?:{ends})\z"), F.lit(False))
 
 
 def _given(path: Column) -> Column:
@@ -62,7 +62,8 @@ def relevant_path(old_path: Column, new_path: Column, suffixes: Suffixes) -> Col
 
 def directory(path: Column) -> Column:
     """Parent directory; null for files at the root."""
-    return _given(F.regexp_extract(path, r"^(.*[^/])/+[^/]*$", 1))
+    name = F.substring_index(path, "/", -1)
+    return _given(F.substring(path, F.lit(1), F.greatest(F.length(path) - F.length(name) - 1, F.lit(0))))
 
 
 def subsystem(path: Column) -> Column:

@@ -7,6 +7,7 @@ totals per key. Lookups use the relevant files of a commit, records all its chan
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,11 +17,11 @@ from changerisk.fixed_values import COMMIT_COLUMNS, NEWEST_COMMITS_PER_PROJECT,
 from changerisk.functions import text
 from changerisk.operators.labels import label_initial
 from changerisk.operators.ordering import BLOCK_ROWS, newest_per_group, prior_in_key, with_position
-from changerisk.runtime import broadcast_if_small, freeze
+from changerisk.runtime import broadcast_if_small, freeze, materialize
 
 COMMIT = ["project", "commit_id"]
 
-# Changes above which the developers of a file are counted, not enumerated.
+# Commits above which the developers of a file are counted, not enumerated.
 HOT_TOUCHES = 10_000
 
 
@@ -40,9 +41,10 @@ class ChangeHistory:
     """History of one commit log.
 
     ``commits``: project, commit_id, author, author_date (one row per commit; more columns may
-    follow). ``changes``: project, commit_id, ordinal, old_path, new_path, added_lines,
-    deleted_lines, patch, source_code. ``suffixes``: relevant file suffixes, the same for all
-    rows or a column of ``changes``.
+    follow). ``changes``: commit_id, ordinal, old_path, new_path, added_lines, deleted_lines,
+    patch, source_code, and project too where projects share commit ids (forks); without it one
+    join less is needed. ``suffixes``: relevant file suffixes, the same for all rows or a column
+    of ``changes``.
     """
 
     commits: DataFrame
@@ -52,6 +54,11 @@ class ChangeHistory:
     hot_touches: int = HOT_TOUCHES
     _cache: dict = field(default_factory=dict, repr=False)
 
+    @property
+    def key(self) -> list[str]:
+        """Key of a commit in ``changes``: the id, with the project where changes have one."""
+        return [c for c in COMMIT if c in self.changes.columns]
+
     # ---- commit order -------------------------------------------------------------------
 
     def _ordered(self, with_cutoffs: bool) -> tuple[DataFrame, int]:
@@ -78,15 +85,26 @@ class ChangeHistory:
     # ---- size and spread ----------------------------------------------------------------
 
     def _paths(self) -> DataFrame:
+        if "paths" in self._cache:
+            return self._cache["paths"]
         changed = text.changed_path(F.col("old_path"), F.col("new_path"))
         relevant = text.relevant_path(F.col("old_path"), F.col("new_path"), self.suffixes)
-        return self.changes.withColumns({"changed": changed, "relevant": relevant}).withColumn(
-            "counted", text.file_is_relevant(F.col("changed"), self.suffixes)
+        return self.changes.select(
+            *self.key,
+            changed.alias("changed"),
+            relevant.alias("relevant"),
+            text.file_is_relevant(changed, self.suffixes).alias("counted"),
+            *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("added_lines", "deleted_lines")],
         )
 
+    def _keep_paths(self) -> None:
+        """Several features need the paths: derive them once, without the patches."""
+        if "paths" not in self._cache:
+            self._cache["paths"] = materialize(self._paths(), "paths")
+
     def change_metrics(self) -> DataFrame:
         """la, ld, nf, nd, ns and ent of each commit that touches a relevant file."""
-        added, deleted = (F.coalesce(F.col(c), F.lit(0)) for c in ("added_lines", "deleted_lines"))
+        added, deleted = F.col("added_lines"), F.col("deleted_lines")
         churn = F.when(added + deleted > 0, (added + deleted).cast("double")).otherwise(1.0)
 
         def counted(value: Column) -> Column:
@@ -94,7 +112,7 @@ class ChangeHistory:
 
         per_path = (
             self._paths()
-            .groupBy(*COMMIT, "relevant")
+            .groupBy(*self.key, "relevant")
             .agg(
                 F.sum(counted(added)).alias("la"),
                 F.sum(counted(deleted)).alias("ld"),
@@ -106,7 +124,7 @@ class ChangeHistory:
         # H = log2(T) - sum(c log2 c) / T needs no second pass over the files.
         entropy = F.log2(F.sum("churn")) - F.sum("weighted") / F.sum("churn")
         return (
-            per_path.groupBy(*COMMIT)
+            per_path.groupBy(*self.key)
             .agg(
                 F.coalesce(F.sum("la"), F.lit(0)).alias("la"),
                 F.coalesce(F.sum("ld"), F.lit(0)).alias("ld"),
@@ -120,24 +138,34 @@ class ChangeHistory:
 
     def relevant_files(self) -> DataFrame:
         """Distinct relevant paths per commit."""
-        return self._paths().filter("relevant is not null").select(*COMMIT, "relevant").distinct()
+        return self._paths().filter("relevant is not null").select(*self.key, "relevant").distinct()
 
     def commit_filter(self) -> DataFrame:
         """Ids of the commits that touch a relevant file; the others still count as history."""
-        return self._paths().filter("relevant is not null").select(*COMMIT).distinct()
+        return self._paths().filter("relevant is not null").select(*self.key).distinct()
 
     # ---- files --------------------------------------------------------------------------
 
     def _file_entries(self) -> DataFrame:
         """Per commit and file: number of records, and of relevant paths that look it up."""
-        record = F.struct(F.lower("changed").alias("file"), F.lit(1).alias("touch"), F.lit(None).cast("string").alias("path"))
-        lookup = F.struct(F.lower("relevant").alias("file"), F.lit(0).alias("touch"), F.col("relevant").alias("path"))
-        entries = self._paths().select(*COMMIT, F.inline(F.array(record, lookup))).filter("file is not null")
-        entries = entries.groupBy(*COMMIT, "file").agg(
+        if "entries" in self._cache:
+            return self._cache["entries"]
+        changed, relevant = F.lower("changed"), F.lower("relevant")
+        same = changed == relevant
+        path = F.col("relevant").alias("path")
+        record = F.struct(changed.alias("file"), F.lit(1).alias("touch"), F.when(same, F.col("relevant")).alias("path"))
+        lookup = F.when(~same, F.struct(relevant.alias("file"), F.lit(0).alias("touch"), path))
+        entries = self._paths().select(*self.key, F.inline(F.array(record, lookup))).filter("file is not null")
+        entries = entries.groupBy(*self.key, "file").agg(
             F.sum("touch").alias("touches"), F.count_distinct("path").alias("lookups")
         )
         positions, _ = self.positions()
-        return entries.join(positions, COMMIT)
+        return entries.join(positions, self.key)
+
+    def _keep_entries(self) -> None:
+        if "entries" not in self._cache:
+            self._keep_paths()
+            self._cache["entries"] = materialize(self._file_entries(), "entries")
 
     def file_history(self) -> DataFrame:
         """age (mean seconds since the last touch of each relevant file) and nuc (earlier touches)."""
@@ -152,7 +180,7 @@ class ChangeHistory:
         lookups = F.col("lookups")
         return (
             known.filter(lookups > 0)
-            .groupBy(*COMMIT)
+            .groupBy(*self.key)
             .agg(
                 (F.sum(idle * lookups) / F.sum(lookups)).alias("age"),
                 F.sum(F.col("prior_count") * lookups).alias("nuc"),
@@ -160,10 +188,8 @@ class ChangeHistory:
         )
 
     def _hot_files(self) -> DataFrame:
-        """Files with more than ``hot_touches`` changes."""
-        file = F.explode(F.array_distinct(F.array(F.lower("changed"), F.lower("relevant"))))
-        touches = self._paths().select("project", file.alias("file")).filter("file is not null")
-        counts = touches.groupBy("project", "file").agg(F.count("*").alias("n"))
+        """Files that more than ``hot_touches`` commits change or look up."""
+        counts = self._file_entries().groupBy("project", "file").agg(F.count("*").alias("n"))
         return counts.filter(F.col("n") > self.hot_touches).select("project", "file")
 
     def developer_count(self) -> DataFrame:
@@ -176,6 +202,7 @@ class ChangeHistory:
         if the set does not hold them yet.
         """
         _, span = self.positions()
+        self._keep_entries()
         entries = self._file_entries()
         lookups = entries.filter("lookups > 0").select(*COMMIT, "file", "pos")
         first_touch = (
@@ -187,7 +214,7 @@ class ChangeHistory:
         if hot.isEmpty():
             known = lookups.join(first_touch, ["project", "file"], "left")
             earlier = F.when(F.col("since") < F.col("pos"), F.col("developer"))
-            return known.groupBy(*COMMIT).agg(F.count_distinct(earlier).alias("ndev"))
+            return known.groupBy(*self.key).agg(F.count_distinct(earlier).alias("ndev"))
 
         marked = lookups.join(
             broadcast_if_small(hot).withColumn("hot", F.lit(True)), ["project", "file"], "left"
@@ -220,7 +247,7 @@ class ChangeHistory:
         return (
             lookups.select(*COMMIT).distinct()
             .join(from_hot, COMMIT, "left").join(from_cold, COMMIT, "left")
-            .select(*COMMIT, (F.coalesce("hot_devs", F.lit(0)) + F.coalesce("cold_devs", F.lit(0))).alias("ndev"))
+            .select(*self.key, (F.coalesce("hot_devs", F.lit(0)) + F.coalesce("cold_devs", F.lit(0))).alias("ndev"))
         )
 
     # ---- authors ------------------------------------------------------------------------
@@ -234,13 +261,13 @@ class ChangeHistory:
         known = prior_in_key(timeline, ["project", "author"], "is_commit", span=span, block_rows=self.block_rows)
         at_commit = F.max(F.when(F.col("is_commit") == 1, F.col("prior_count")))
         at_cutoff = F.max(F.when(F.col("is_commit") == 0, F.col("prior_count")))
-        return known.groupBy(*COMMIT).agg(at_commit.alias("aexp"), (at_commit - at_cutoff).alias("arexp"))
+        return known.groupBy(*self.key).agg(at_commit.alias("aexp"), (at_commit - at_cutoff).alias("arexp"))
 
     def author_experience(self) -> DataFrame:
         """aexp alone, without the cut-offs."""
         commits, span = self._ordered(with_cutoffs=False)
         known = prior_in_key(commits, ["project", "author"], "is_commit", span=span, block_rows=self.block_rows)
-        return known.select(*COMMIT, F.col("prior_count").alias("aexp"))
+        return known.select(*self.key, F.col("prior_count").alias("aexp"))
 
     def subsystem_experience(self) -> DataFrame:
         """asexp: the author's earlier commits, summed over the subsystems of the relevant files."""
@@ -249,48 +276,49 @@ class ChangeHistory:
         lookup = F.struct(text.subsystem(F.lower("relevant")).alias("subsystem"), F.lit(0).alias("touch"))
         entries = (
             self._paths()
-            .select(*COMMIT, F.inline(F.array(record, lookup)))
+            .select(*self.key, F.inline(F.array(record, lookup)))
             .filter("subsystem is not null")
-            .groupBy(*COMMIT, "subsystem")
+            .groupBy(*self.key, "subsystem")
             .agg(F.max("touch").alias("touched"), F.max(1 - F.col("touch")).alias("asked"))
-            .join(positions, COMMIT)
+            .join(positions, self.key)
         )
         known = prior_in_key(
             entries, ["project", "author", "subsystem"], "touched", span=span, block_rows=self.block_rows
         )
-        return known.filter("asked = 1").groupBy(*COMMIT).agg(F.sum("prior_count").alias("asexp"))
+        return known.filter("asked = 1").groupBy(*self.key).agg(F.sum("prior_count").alias("asexp"))
 
     # ---- everything ---------------------------------------------------------------------
 
     def metrics(self) -> DataFrame:
         """The twelve change metrics of every commit that touches a relevant file."""
         self._ordered(with_cutoffs=True)
+        self._keep_entries()
         parts = [self.file_history(), self.developer_count(), self.author_history(), self.subsystem_experience()]
         result = self.change_metrics()
         for part in parts:
-            result = result.join(part, COMMIT)
+            result = result.join(part, self.key)
         return result
 
     def commit_rows(self) -> DataFrame:
         """The 20-column commit table. Texts join last, after all narrow work."""
         facts = commit_time(self.commits).withColumn("message", F.coalesce("message", F.lit("")))
         facts = label_initial(facts).withColumn("author_date", F.col("epoch"))
-        diffs = commit_diff_text(self.changes, self.suffixes)
-        rows = self.metrics().join(facts, COMMIT).join(diffs, COMMIT, "left")
+        diffs = commit_diff_text(self.changes, self.suffixes, self.key)
+        rows = self.metrics().join(facts, self.key).join(diffs, self.key, "left")
         return rows.withColumn("diff", F.coalesce("diff", F.lit(""))).select(*COMMIT_COLUMNS)
 
 
-def commit_diff_text(changes: DataFrame, suffixes: text.Suffixes) -> DataFrame:
+def commit_diff_text(changes: DataFrame, suffixes: text.Suffixes, key: Sequence[str] = ("commit_id",)) -> DataFrame:
     """Patches of the relevant files of a commit, each under its path, in file order."""
     path = text.changed_path(F.col("old_path"), F.col("new_path"))
     part = text.patch_text(F.col("changed"), F.col("patch"), F.col("source_code"))
     parts = changes.withColumn("changed", path).filter(text.file_is_relevant(F.col("changed"), suffixes))
-    return joined_text(parts, COMMIT, ["ordinal", "changed"], part, "\n\n", "diff")
+    return joined_text(parts, list(key), ["ordinal", "changed"], part, "\n\n", "diff")
 
 
-def plain_diff_text(changes: DataFrame) -> DataFrame:
+def plain_diff_text(changes: DataFrame, key: Sequence[str] = ("commit_id",)) -> DataFrame:
     """All patches of a commit, one after the other."""
-    return joined_text(changes, COMMIT, ["ordinal", "new_path"], F.coalesce("patch", F.lit("")), "\n", "diff")
+    return joined_text(changes, list(key), ["ordinal", "new_path"], F.coalesce("patch", F.lit("")), "\n", "diff")
 
 
 def joined_text(

@@ -66,9 +66,7 @@ def file_changes(t: Tables) -> DataFrame:
 
 def change_history(t: Tables) -> ChangeHistory:
     """The commit log with its file changes."""
-    log = commits(t)
-    changes = file_changes(t).join(log.select("project", "commit_id"), "commit_id")
-    return ChangeHistory(log, changes, SUFFIXES)
+    return ChangeHistory(commits(t), file_changes(t), SUFFIXES)
 
 
 # The same log in SQL, with one window per feature.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from changerisk.functions import text
 from changerisk.functions.vectors import expand_embedding, vector_norm
 from changerisk.operators import clean, fusion, joins, labels, models, sampling
-from changerisk.operators.history import COMMIT, commit_diff_text, joined_text, recent_n_commits
+from changerisk.operators.history import commit_diff_text, joined_text, recent_n_commits
 from changerisk.operators.ordering import prior_in_key
 from changerisk.plans.catalog.registry import query
 from changerisk.plans.catalog.roles import (
@@ -79,7 +79,7 @@ def relevant_path(t):
     return change_history(t).relevant_files().select("commit_id", "relevant")
 
 
-@query("commit_filter", HISTORY + "SELECT DISTINCT project, commit_id FROM paths WHERE relevant IS NOT NULL")
+@query("commit_filter", HISTORY + "SELECT DISTINCT commit_id FROM paths WHERE relevant IS NOT NULL")
 def commit_filter(t):
     return change_history(t).commit_filter()
 
@@ -166,9 +166,9 @@ def szz_label(t):
     positions, span = history.positions()
     changed = text.changed_path(F.col("old_path"), F.col("new_path"))
     touched = (
-        history.changes.select(*COMMIT, changed.alias("file"))
+        history.changes.select("commit_id", changed.alias("file"))
         .filter(text.file_is_relevant(F.col("file"), SUFFIXES)).distinct()
-        .join(positions, COMMIT).withColumn("one", F.lit(1))
+        .join(positions, "commit_id").withColumn("one", F.lit(1))
     )
     before = prior_in_key(touched, ["project", "file"], "one", "commit_id", span=span)
     fixes = log.filter("fix = 1").select("commit_id")
