@@ -40,8 +40,11 @@ def file_is_relevant(path: Column, suffixes: Suffixes) -> Column:
     """Whether the suffix is in the set; the set may be a column of arrays. Null paths are not."""
     if isinstance(suffixes, Column):
         return F.coalesce(F.array_contains(suffixes, file_suffix(path)), F.lit(False))
-    ends = "|".join(f"\\Q{suffix}\\E" for suffix in suffixes)
-    return F.coalesce(F.lower(path).rlike(rf"[^/](?:{ends})\z"), F.lit(False))
+    lowered = F.lower(path)
+    hit = F.lit(False)
+    for suffix in suffixes:  # a bare suffix is a dot file, which has none
+        hit = hit | (lowered.endswith(suffix) & (lowered != suffix) & ~lowered.endswith("/" + suffix))
+    return F.coalesce(hit, F.lit(False))
 
 
 def _given(path: Column) -> Column:

@@ -17,10 +17,13 @@ from changerisk.fixed_values import COMMIT_COLUMNS, NEWEST_COMMITS_PER_PROJECT,
 from changerisk.functions import text
 from changerisk.operators.labels import label_initial
 from changerisk.operators.ordering import BLOCK_ROWS, newest_per_group, prior_in_key, with_position
-from changerisk.runtime import broadcast_if_small, freeze, materialize
+from changerisk.runtime import broadcast_if_small, freeze
 
 COMMIT = ["project", "commit_id"]
 
+# Both sides of a join grow with the log: the "merge" hints keep Spark from broadcasting one of
+# them on an estimate, and leave skewed keys to adaptive execution.
+
 # Commits above which the developers of a file are counted, not enumerated.
 HOT_TOUCHES = 10_000
 
@@ -85,23 +88,23 @@ class ChangeHistory:
     # ---- size and spread ----------------------------------------------------------------
 
     def _paths(self) -> DataFrame:
-        if "paths" in self._cache:
-            return self._cache["paths"]
-        changed = text.changed_path(F.col("old_path"), F.col("new_path"))
-        relevant = text.relevant_path(F.col("old_path"), F.col("new_path"), self.suffixes)
-        return self.changes.select(
+        old, new = F.col("old_path"), F.col("new_path")
+        flagged = self.changes.withColumns(
+            {
+                "_changed": text.changed_path(old, new),
+                "_new": text.file_is_relevant(new, self.suffixes),
+                "_old": text.file_is_relevant(old, self.suffixes),
+            }
+        )
+        relevant = F.when(F.col("_new"), new).when(F.col("_old"), old)
+        return flagged.select(
             *self.key,
-            changed.alias("changed"),
-            relevant.alias("relevant"),
-            text.file_is_relevant(changed, self.suffixes).alias("counted"),
+            F.col("_changed").alias("changed"),
+            text.normalize_path(relevant).alias("relevant"),
+            F.when(new != "", F.col("_new")).otherwise(F.col("_old")).alias("counted"),
             *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("added_lines", "deleted_lines")],
         )
 
-    def _keep_paths(self) -> None:
-        """Several features need the paths: derive them once, without the patches."""
-        if "paths" not in self._cache:
-            self._cache["paths"] = materialize(self._paths(), "paths")
-
     def change_metrics(self) -> DataFrame:
         """la, ld, nf, nd, ns and ent of each commit that touches a relevant file."""
         added, deleted = F.col("added_lines"), F.col("deleted_lines")
@@ -147,7 +150,7 @@ class ChangeHistory:
     # ---- files --------------------------------------------------------------------------
 
     def _file_entries(self) -> DataFrame:
-        """Per commit and file: number of records, and of relevant paths that look it up."""
+        """Per commit, file and spelling of its path: number of records, and whether it is looked up."""
         if "entries" in self._cache:
             return self._cache["entries"]
         changed, relevant = F.lower("changed"), F.lower("relevant")
@@ -156,16 +159,14 @@ class ChangeHistory:
         record = F.struct(changed.alias("file"), F.lit(1).alias("touch"), F.when(same, F.col("relevant")).alias("path"))
         lookup = F.when(~same, F.struct(relevant.alias("file"), F.lit(0).alias("touch"), path))
         entries = self._paths().select(*self.key, F.inline(F.array(record, lookup))).filter("file is not null")
-        entries = entries.groupBy(*self.key, "file").agg(
-            F.sum("touch").alias("touches"), F.count_distinct("path").alias("lookups")
-        )
+        entries = entries.groupBy(*self.key, "file", "path").agg(F.sum("touch").alias("touches"))
+        entries = entries.withColumn("lookups", F.col("path").isNotNull().cast("int")).drop("path")
         positions, _ = self.positions()
-        return entries.join(positions, self.key)
+        return entries.join(positions.hint("merge"), self.key)
 
     def _keep_entries(self) -> None:
         if "entries" not in self._cache:
-            self._keep_paths()
-            self._cache["entries"] = materialize(self._file_entries(), "entries")
+            self._cache["entries"] = freeze(self._file_entries())
 
     def file_history(self) -> DataFrame:
         """age (mean seconds since the last touch of each relevant file) and nuc (earlier touches)."""
@@ -212,7 +213,7 @@ class ChangeHistory:
         )
         hot = freeze(self._hot_files())
         if hot.isEmpty():
-            known = lookups.join(first_touch, ["project", "file"], "left")
+            known = lookups.join(first_touch.hint("merge"), ["project", "file"], "left")
             earlier = F.when(F.col("since") < F.col("pos"), F.col("developer"))
             return known.groupBy(*self.key).agg(F.count_distinct(earlier).alias("ndev"))
 
@@ -237,7 +238,7 @@ class ChangeHistory:
         from_hot = counted.filter("commit_id is not null").select(*COMMIT, F.col("prior_count").alias("hot_devs"))
 
         pairs = (
-            cold.join(first_touch, ["project", "file"]).filter("since < pos")
+            cold.join(first_touch.hint("merge"), ["project", "file"]).filter("since < pos")
             .select(*COMMIT, "pos", "developer").distinct()
             .join(sets.select(*COMMIT, "set_id"), COMMIT, "left")
             .join(set_touch.withColumnRenamed("since", "in_set_since"), ["project", "set_id", "developer"], "left")

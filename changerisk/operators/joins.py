@@ -22,13 +22,13 @@ def merge_report(merged: DataFrame) -> DataFrame:
 
 
 def semi_commits(traversed: DataFrame, listed: DataFrame, keys: Sequence[str] = ("project", "commit_id")) -> DataFrame:
-    """Traversed rows whose keys are listed."""
-    return traversed.join(listed.select(*keys), list(keys), "left_semi")
+    """Traversed rows whose keys are listed; repeated listings collapse before the shuffle."""
+    return traversed.join(listed.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def pending_rows(listed: DataFrame, done: DataFrame, key: str = "commit_id") -> DataFrame:
     """Listed rows that are not done yet."""
-    return listed.join(done.select(key), key, "left_anti")
+    return listed.join(done.select(key).distinct(), key, "left_anti")
 
 
 def union_datasets(*tables: DataFrame) -> DataFrame:

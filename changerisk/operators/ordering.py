@@ -80,9 +80,9 @@ def prior_in_key(
 ) -> DataFrame:
     """Per row: sum of ``count`` and latest non-null ``last`` over earlier rows of the same key.
 
-    Adds ``prior_count`` and, with ``last``, ``prior_last``. Rows hold one entry per key and
-    position; positions lie in ``[0, span)``. A key is cut at fixed positions, so no task gets
-    more than ``block_rows`` of its rows; each block's totals are carried to the later blocks.
+    Adds ``prior_count`` and, with ``last``, ``prior_last``. Positions lie in ``[0, span)``; rows
+    of one position do not see each other. A key is cut at fixed positions, so no task gets more
+    than ``block_rows`` of its positions; each block's totals are carried to the later blocks.
     """
     keys = list(keys)
     measures = {"prior_count": F.sum(count)}
@@ -90,13 +90,13 @@ def prior_in_key(
         measures["prior_last"] = F.last(last, ignorenulls=True)
     before = (Window.unboundedPreceding, -1)
     if span <= block_rows:
-        window = Window.partitionBy(*keys).orderBy(position).rowsBetween(*before)
+        window = Window.partitionBy(*keys).orderBy(position).rangeBetween(*before)
         for name, measure in measures.items():
             rows = rows.withColumn(name, measure.over(window))
         return rows.withColumn("prior_count", F.coalesce("prior_count", F.lit(0)))
 
     rows = rows.withColumn("_block", F.floor(F.col(position) / block_rows))
-    inside = Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(*before)
+    inside = Window.partitionBy(*keys, "_block").orderBy(position).rangeBetween(*before)
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*before)
     block_totals = [F.sum(count).alias("_count")]
     if last:

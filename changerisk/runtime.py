@@ -43,14 +43,6 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet below the checkpoint folder; each later use reads only its columns."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(frozen: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a frozen table of at most ``max_rows`` rows; a shuffle join otherwise."""
     return F.broadcast(frozen) if frozen.limit(max_rows + 1).count() <= max_rows else frozen
