@@ -20,7 +20,7 @@ def is_fix_commit(message: Column, keywords: Sequence[str] = FIX_KEYWORDS) -> Co
 
 def normalize_path(path: Column) -> Column:
     """Forward slashes only, case kept."""
-    return F.translate(path, "\\", "/")
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def history_path(path: Column) -> Column:
@@ -40,11 +40,9 @@ def file_is_relevant(path: Column, suffixes: Suffixes) -> Column:
     """Whether the suffix is in the set; the set may be a column of arrays. Null paths are not."""
     if isinstance(suffixes, Column):
         return F.coalesce(F.array_contains(suffixes, file_suffix(path)), F.lit(False))
-    lowered = F.lower(path)
-    hit = F.lit(False)
-    for suffix in suffixes:  # a bare suffix is a dot file, which has none
-        hit = hit | (lowered.endswith(suffix) & (lowered != suffix) & ~lowered.endswith("/" + suffix))
-    return F.coalesce(hit, F.lit(False))
+    # One reference to the path, matched from its end; a bare suffix is a dot file, which has none.
+    ends = "|".join(f"\\Q{suffix}\\E" for suffix in suffixes)
+    return F.coalesce(path.rlike(rf"(?is)^.*[^/](?:{ends})\z"), F.lit(False))
 
 
 def _given(path: Column) -> Column:

@@ -281,7 +281,7 @@ class ChangeHistory:
             .filter("subsystem is not null")
             .groupBy(*self.key, "subsystem")
             .agg(F.max("touch").alias("touched"), F.max(1 - F.col("touch")).alias("asked"))
-            .join(positions, self.key)
+            .join(positions.hint("merge"), self.key)
         )
         known = prior_in_key(
             entries, ["project", "author", "subsystem"], "touched", span=span, block_rows=self.block_rows
@@ -297,7 +297,7 @@ class ChangeHistory:
         parts = [self.file_history(), self.developer_count(), self.author_history(), self.subsystem_experience()]
         result = self.change_metrics()
         for part in parts:
-            result = result.join(part, self.key)
+            result = result.join(part.hint("merge"), self.key)
         return result
 
     def commit_rows(self) -> DataFrame:
@@ -305,7 +305,7 @@ class ChangeHistory:
         facts = commit_time(self.commits).withColumn("message", F.coalesce("message", F.lit("")))
         facts = label_initial(facts).withColumn("author_date", F.col("epoch"))
         diffs = commit_diff_text(self.changes, self.suffixes, self.key)
-        rows = self.metrics().join(facts, self.key).join(diffs, self.key, "left")
+        rows = self.metrics().join(facts.hint("merge"), self.key).join(diffs.hint("merge"), self.key, "left")
         return rows.withColumn("diff", F.coalesce("diff", F.lit(""))).select(*COMMIT_COLUMNS)
 
 

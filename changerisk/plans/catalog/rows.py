@@ -168,7 +168,7 @@ def szz_label(t):
     touched = (
         history.changes.select("commit_id", changed.alias("file"))
         .filter(text.file_is_relevant(F.col("file"), SUFFIXES)).distinct()
-        .join(positions, "commit_id").withColumn("one", F.lit(1))
+        .join(positions.hint("merge"), "commit_id").withColumn("one", F.lit(1))
     )
     before = prior_in_key(touched, ["project", "file"], "one", "commit_id", span=span)
     fixes = log.filter("fix = 1").select("commit_id")
