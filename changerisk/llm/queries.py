@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from changerisk.llm.byte_bpe import ByteBpe
 from changerisk.llm.common import read_table
+from changerisk.llm.exact_dedup import duplicate_groups
+from changerisk.llm.simhash import near_duplicate_groups
 from changerisk.llm.token_files import write_token_files
 from changerisk.runtime import scratch_path
 
@@ -47,3 +49,28 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
         vocabulary=49_408,
     )
     return files.documents()
+
+
+@query(
+    "op5_exact_dedup",
+    r"""
+    WITH rows AS (
+        SELECT doc_id, length(coalesce(text, '')) AS points,
+               sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+        FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id,
+           count(*) OVER (PARTITION BY text_sha256) AS group_size,
+           doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS kept,
+           text_sha256
+    FROM rows""",
+)
+def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of equal texts of every document, and the row of it that stays."""
+    return duplicate_groups(read_table(spark, folder, "documents"), digests=True)
+
+
+@query("op4_simhash")
+def simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    groups = near_duplicate_groups(read_table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
