@@ -13,6 +13,7 @@ from changerisk.llm.chat import conversation_digests, format_conversations
 from changerisk.llm.common import read_table
 from changerisk.llm.exact_dedup import duplicate_groups
 from changerisk.llm.licenses import license_report
+from changerisk.llm.rule_ensemble import fit_quality, held_out, score_quality
 from changerisk.llm.simhash import near_duplicate_groups
 from changerisk.llm.token_files import write_token_files
 from changerisk.runtime import scratch_path
@@ -94,3 +95,17 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License phrases and labels of every document."""
     return license_report(read_table(spark, folder, "documents"))
+
+
+#: Scores from here on predict label 1.
+GOOD = 0.7
+
+
+@query("op6_rule_ensemble")
+def rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, by rules learnt from labelled documents that are not held out."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, read_table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
