@@ -13,6 +13,7 @@ from changerisk.llm.chat import conversation_digests, format_conversations
 from changerisk.llm.common import read_table
 from changerisk.llm.exact_dedup import duplicate_groups
 from changerisk.llm.licenses import license_report
+from changerisk.llm.mixing import mixture
 from changerisk.llm.rule_ensemble import fit_quality, held_out, score_quality
 from changerisk.llm.simhash import near_duplicate_groups
 from changerisk.llm.token_files import write_token_files
@@ -109,3 +110,9 @@ def rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
     )
+
+
+@query("op7_source_mixing")
+def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the mixture of sources uses each document."""
+    return mixture(read_table(spark, folder, "documents"))[0]
