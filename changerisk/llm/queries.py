@@ -14,6 +14,7 @@ from changerisk.llm.common import read_table
 from changerisk.llm.exact_dedup import duplicate_groups
 from changerisk.llm.licenses import license_report
 from changerisk.llm.mixing import mixture
+from changerisk.llm.page_diff import page_texts
 from changerisk.llm.rule_ensemble import fit_quality, held_out, score_quality
 from changerisk.llm.simhash import near_duplicate_groups
 from changerisk.llm.token_files import write_token_files
@@ -116,3 +117,9 @@ def rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
 def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How often the mixture of sources uses each document."""
     return mixture(read_table(spark, folder, "documents"))[0]
+
+
+@query("op1_page_diff")
+def page_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return page_texts(read_table(spark, folder, "pages"))
