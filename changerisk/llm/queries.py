@@ -13,6 +13,7 @@ from changerisk.llm.chat import conversation_digests, format_conversations
 from changerisk.llm.common import read_table
 from changerisk.llm.exact_dedup import duplicate_groups
 from changerisk.llm.licenses import license_report
+from changerisk.llm.hash_forest import HashForest
 from changerisk.llm.mixing import mixture
 from changerisk.llm.page_diff import page_texts
 from changerisk.llm.rule_ensemble import fit_quality, held_out, score_quality
@@ -123,3 +124,10 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def page_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return page_texts(read_table(spark, folder, "pages"))
+
+
+@query("op2_hash_forest")
+def hash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest vectors of every vector whose id is divisible by 50."""
+    forest = HashForest(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return forest.search(F.col("id") % 50 == 0)
