@@ -5,9 +5,10 @@ Grammar of a formatted conversation::
     conversation = turn*
     turn         = "### " role ": " text " </turn>" newline
     role         = characters, with ":" written "\:" and "\" written "\\"
-    text         = characters; "\###", "\</turn>" and "\\" stand for "###", "</turn>" and "\"
+    text         = characters; "\#", "\</turn>" and "\\" stand for "#", "</turn>" and "\"
 
-A text with "###" or "</turn>" unescaped is no text of this grammar. A turn is first written as it
+A text with "###" or "</turn>" without a backslash before it is no text of this grammar; where
+more than three "#" follow each other, each that has two more after it gets one. A turn is first written as it
 is, then read back by the grammar and compared with its source; only if the two differ is it
 written again with its control strings and backslashes escaped. At last whole conversations are
 read back and compared turn by turn; one that differs anywhere has all its turns escaped.
@@ -24,16 +25,17 @@ from pyspark.sql import functions as F
 # Parts of the template (fixed values of this format).
 OPEN, SEPARATOR, CLOSE = "### ", ": ", " </turn>\n"
 _CONTROL = r"###|</turn>"
+_MARKED = r"\\|#(?=##)|</turn>"
 
 
 def escape(text: Column) -> Column:
     """A text with backslashes and control strings escaped."""
-    return F.regexp_replace(text, rf"(\\|{_CONTROL})", r"\\$1")
+    return F.regexp_replace(text, f"({_MARKED})", r"\\$1")
 
 
 def unescape(text: Column) -> Column:
     """The text that an escaped one stands for."""
-    return F.regexp_replace(text, rf"\\(\\|{_CONTROL})", "$1")
+    return F.regexp_replace(text, r"\\(\\|#|</turn>)", "$1")
 
 
 def _role(role: Column) -> Column:
