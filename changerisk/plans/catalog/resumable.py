@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from changerisk.functions.vectors import vector_norm
-from changerisk.plans.catalog.reduction import _LENGTHS, full_model
+from changerisk.plans.catalog.reduction import _LENGTHS, _TOKENS, LETTER_SIZE, full_model, letter_texts, token_lengths
 from changerisk.plans.catalog.registry import query
 from changerisk.runtime import scratch_path
 from changerisk.streaming import incremental
@@ -22,19 +22,32 @@ def incremental_pca_transform(t):
     return t.spark.read.parquet(output).select("vec_id", F.round(vector_norm(F.col("embedding")), 4).alias("length"))
 
 
-@query("incremental_extract", "SELECT DISTINCT l_orderkey AS commit_id FROM lineitem")
+def shares(t, table, column):
+    """Streams over a table in two folders, rows by parity of a column."""
+    paths = []
+    for part in (0, 1):
+        path = scratch_path(t.spark, f"share-{part}")
+        table.filter(F.col(column) % 2 == part).write.parquet(path)
+        paths.append(incremental.file_stream(t.spark, path, table.schema))
+    return paths
+
+
+@query("incremental_extract", """
+    SELECT DISTINCT ON (l_orderkey) l_orderkey AS commit_id, l_partkey, l_suppkey, l_linenumber, l_quantity
+    FROM lineitem ORDER BY l_orderkey, l_suppkey % 2, l_linenumber, l_partkey, l_suppkey, l_quantity""")
 def incremental_extract(t):
-    output = scratch_path(t.spark, "extracted")
-    rows = stream(t, "lineitem").select(F.col("l_orderkey").alias("commit_id"), "l_partkey")
-    for _ in range(2):  # the second run re-reads all files, and leaves out all keys
-        incremental.incremental_extract(rows, output, scratch_path(t.spark, "progress"))
-    return t.spark.read.parquet(output).select("commit_id")
+    output, progress = scratch_path(t.spark, "extracted"), scratch_path(t.spark, "progress")
+    columns = [F.col("l_orderkey").alias("commit_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+    first, second = (part.select(*columns) for part in shares(t, t.lineitem, "l_suppkey"))
+    incremental.incremental_extract(first, output, progress, order_by=["l_linenumber"])
+    # A second job, with progress of its own, brings new commits and others that are known.
+    incremental.incremental_extract(second, output, scratch_path(t.spark, "progress"), order_by=["l_linenumber"])
+    return t.spark.read.parquet(output).drop("run", "batch")
 
 
-@query("incremental_embed", "SELECT doc_id, 128 AS size, 1.0::DOUBLE AS norm FROM documents")
+@query("incremental_embed", _TOKENS)
 def incremental_embed(t):
-    output, progress = scratch_path(t.spark, "embedded"), scratch_path(t.spark, "progress")
-    for _ in range(2):
-        incremental.incremental_embed(stream(t, "documents"), output, progress, "doc_id", "text", size=128)
-    done = t.spark.read.parquet(output)
-    return done.select("doc_id", F.size("embedding").alias("size"), F.round(vector_norm(F.col("embedding")), 4).alias("norm"))
+    output = scratch_path(t.spark, "embedded")
+    for part in shares(t, letter_texts(t.documents), "doc_id"):
+        incremental.incremental_embed(part, output, scratch_path(t.spark, "progress"), "doc_id", "letters", size=LETTER_SIZE)
+    return token_lengths(t.spark.read.parquet(output))

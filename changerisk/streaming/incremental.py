@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changerisk.operators.clean import dedupe_by_key
 from changerisk.operators.embedding import Encoder, embed_text
 from changerisk.operators.joins import pending_rows
 from changerisk.operators.pca import pca_transform
-from changerisk.runtime import path_exists
+from changerisk.runtime import path_exists, remove_path
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -22,8 +25,17 @@ def file_stream(spark: SparkSession, path: str, schema, pattern: str | None = No
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, output: str, checkpoint: str) -> None:
+def _prepare(spark: SparkSession, output: str, checkpoint: str, overwrite: bool) -> None:
+    """Progress counts only with its output: without one, or to overwrite it, both start afresh."""
+    if overwrite:
+        remove_path(spark, output)
+    if not path_exists(spark, output):
+        remove_path(spark, checkpoint)
+
+
+def run_available(stream: DataFrame, output: str, checkpoint: str, overwrite: bool = False) -> None:
     """Append everything that is available to a Parquet table, exactly once, and stop."""
+    _prepare(stream.sparkSession, output, checkpoint, overwrite)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", output).option("checkpointLocation", checkpoint)
@@ -33,41 +45,57 @@ def run_available(stream: DataFrame, output: str, checkpoint: str) -> None:
 
 
 def incremental_pca_transform(
-    stream: DataFrame, model: PipelineModel, output: str, checkpoint: str, vector: str = "embedding"
+    stream: DataFrame, model: PipelineModel, output: str, checkpoint: str, vector: str = "embedding", overwrite: bool = False
 ) -> None:
-    """Reduce vectors as their files arrive; to start over, give new output and checkpoint paths."""
-    run_available(pca_transform(stream, model, vector), output, checkpoint)
+    """Reduce vectors as their files arrive; ``overwrite`` starts over."""
+    run_available(pca_transform(stream, model, vector), output, checkpoint, overwrite)
 
 
 def incremental_append(
-    stream: DataFrame, output: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame,
+    output: str,
+    checkpoint: str,
+    key: str,
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+    order_by: Sequence[str] = (),
+    overwrite: bool = False,
 ) -> None:
     """Append rows whose key is not in the output yet.
 
-    Each micro-batch drops repeated keys, leaves out keys written by earlier batches, and
-    writes a folder of its own; a batch that is retried replaces its folder, so a crash neither
-    loses nor repeats rows.
+    Each micro-batch keeps the first row of each key by ``order_by`` and then the other columns,
+    leaves out keys written before, and writes a folder of its own. Folders are named by the
+    streaming query, which a checkpoint stands for, and the number of the batch: a batch that is
+    retried replaces its own folder and no other, and a new checkpoint starts new folders. Where
+    the output is gone, old progress is ignored; ``overwrite`` removes both first.
     """
+    spark = stream.sparkSession
+    _prepare(spark, output, checkpoint, overwrite)
+    started, names = threading.Event(), []
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if path_exists(spark, output):
-            known = T.StructType([batch.schema[key], T.StructField("batch", T.LongType())])
-            written = spark.read.schema(known).parquet(output).filter(f"batch <> {number}")
-            fresh = pending_rows(fresh, written, key)
+        started.wait()
+        session = batch.sparkSession
+        fresh = dedupe_by_key(batch, key, order_by)
+        if path_exists(session, output):
+            known = T.StructType([batch.schema[key], T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+            written = session.read.schema(known).parquet(output)
+            fresh = pending_rows(fresh, written.filter((F.col("run") != names[0]) | (F.col("batch") != number)), key)
         result = transform(fresh) if transform else fresh
-        result.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        result.write.mode("overwrite").parquet(f"{output}/run={names[0]}/batch={number}")
 
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+    names.append(str(query.id))
+    started.set()
     query.awaitTermination()
 
 
-def incremental_extract(stream: DataFrame, output: str, checkpoint: str, key: str = "commit_id") -> None:
+def incremental_extract(
+    stream: DataFrame, output: str, checkpoint: str, key: str = "commit_id", order_by: Sequence[str] = (), overwrite: bool = False
+) -> None:
     """Append only commits that have not been extracted."""
-    incremental_append(stream, output, checkpoint, key)
+    incremental_append(stream, output, checkpoint, key, None, order_by, overwrite)
 
 
 def incremental_embed(
@@ -78,6 +106,8 @@ def incremental_embed(
     text: str = "input_text",
     size: int = 768,
     encoder: Encoder | None = None,
+    overwrite: bool = False,
 ) -> None:
     """Embed and append only rows that have no vector yet."""
-    incremental_append(stream, output, checkpoint, key, lambda rows: embed_text(rows, text, size=size, encoder=encoder))
+    embed = lambda rows: embed_text(rows, text, size=size, encoder=encoder)
+    incremental_append(stream, output, checkpoint, key, embed, overwrite=overwrite)
