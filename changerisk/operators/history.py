@@ -1,8 +1,8 @@
 """Change-history features: what was known about files, authors and subsystems before a commit.
 
-Commits of all projects get one position in (time, id) order. Everything "before" then means
-"smaller position in the same project", which turns the per-repository trackers into as-of
-totals per key. Lookups use the relevant files of a commit, records all its changed files.
+Commits of all projects get one position, in the order of the repository where the log holds it,
+else in (time, id) order. Everything "before" then means "smaller position in the same project",
+which turns the per-repository trackers into as-of totals per key. Lookups use the relevant files of a commit, records all its changed files.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changerisk.fixed_values import COMMIT_COLUMNS, NEWEST_COMMITS_PER_PROJECT, RECENT_SECONDS
+from changerisk.fixed_values import COMMIT_COLUMNS, RECENT_SECONDS
 from changerisk.functions import text
 from changerisk.operators.labels import label_initial
 from changerisk.operators.ordering import BLOCK_ROWS, newest_per_group, prior_in_key, with_position
@@ -28,15 +28,18 @@ COMMIT = ["project", "commit_id"]
 HOT_TOUCHES = 10_000
 
 
-def recent_n_commits(commits: DataFrame, n: int = NEWEST_COMMITS_PER_PROJECT) -> DataFrame:
-    """The newest ``n`` commits of each project; apply before computing any history."""
-    newest = [F.col("author_date").desc(), F.col("commit_id").desc()]
+def recent_n_commits(commits: DataFrame, n: int, seq: str | None = None) -> DataFrame:
+    """The newest ``n`` commits of each project, by ``seq`` where given, else by date; apply before
+    computing any history.
+    """
+    newest = [F.col(seq or "author_date").desc(), F.col("commit_id").desc()]
     return newest_per_group(commits, ["project"], newest, n, spread_by=["commit_id"])
 
 
 def commit_time(commits: DataFrame) -> DataFrame:
     """Year and epoch seconds, both in UTC."""
-    return commits.withColumns({"year": F.year("author_date"), "epoch": F.unix_timestamp("author_date")})
+    utc = F.convert_timezone(None, F.lit("UTC"), F.col("author_date").cast("timestamp").cast("timestamp_ntz"))
+    return commits.withColumns({"year": F.year(utc), "epoch": F.unix_timestamp(F.col("author_date").cast("timestamp"))})
 
 
 @dataclass
@@ -47,7 +50,9 @@ class ChangeHistory:
     follow). ``changes``: commit_id, ordinal, old_path, new_path, added_lines, deleted_lines,
     patch, source_code, and project too where projects share commit ids (forks); without it one
     join less is needed. ``suffixes``: relevant file suffixes, the same for all rows or a column
-    of ``changes``.
+    of ``changes``. ``seq``: a column of ``commits`` with the order in which a repository's history
+    runs through them; author dates may go backwards in it, as rebases make them do. Without it
+    the order is that of the dates.
     """
 
     commits: DataFrame
@@ -55,6 +60,7 @@ class ChangeHistory:
     suffixes: text.Suffixes
     block_rows: int = BLOCK_ROWS
     hot_touches: int = HOT_TOUCHES
+    seq: str | None = None
     _cache: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -76,12 +82,15 @@ class ChangeHistory:
                 earlier = F.col("author_date") - F.make_dt_interval(secs=F.lit(float(RECENT_SECONDS)))
                 own = own.union(own.select(*COMMIT, "author", earlier, F.lit(0)))
             order = ["author_date", "is_commit", "commit_id", "project"]
+            if self.seq and not with_cutoffs:
+                own = self.commits.select(*COMMIT, "author", "author_date", self.seq, F.lit(1).alias("is_commit"))
+                order = [self.seq, "commit_id", "project"]
             self._cache[key] = with_position(own, [F.col(c) for c in order])
         return self._cache[key]
 
     def positions(self) -> tuple[DataFrame, int]:
         """Position of each commit, and the span positions lie in."""
-        timeline = "timeline" in self._cache
+        timeline = "timeline" in self._cache and not self.seq
         rows, span = self._ordered(with_cutoffs=timeline)
         return (rows.filter("is_commit = 1") if timeline else rows).drop("is_commit"), span
 
@@ -256,14 +265,38 @@ class ChangeHistory:
     def author_history(self) -> DataFrame:
         """aexp (earlier commits of the author in the project) and arexp (those of the last 365 days).
 
-        Both are running counts of the same timeline: at the commit, and at its cut-off.
+        Both are running counts of the same timeline: at the commit, and at its cut-off. With an
+        order of its own, the latter needs two dimensions: of the r commits before, those dated
+        before the cut-off. The ranks 0 to r-1 are cut into one interval for each bit of r, a commit
+        belongs to one interval of each length, and within an interval dates are counted as ever.
         """
+        if self.seq:
+            return self._author_history_in_order()
         timeline, span = self._ordered(with_cutoffs=True)
         known = prior_in_key(timeline, ["project", "author"], "is_commit", span=span, block_rows=self.block_rows)
         at_commit = F.max(F.when(F.col("is_commit") == 1, F.col("prior_count")))
         at_cutoff = F.max(F.when(F.col("is_commit") == 0, F.col("prior_count")))
         return known.groupBy(*self.key).agg(at_commit.alias("aexp"), (at_commit - at_cutoff).alias("arexp"))
 
+    def _author_history_in_order(self) -> DataFrame:
+        ranks = freeze(self.author_experience())
+        levels = max(1, (ranks.agg(F.max("aexp")).first()[0] or 0).bit_length())
+        timeline, span = self._ordered(with_cutoffs=True)
+        level = f"sequence(0, {levels - 1})"
+        own = f"filter({level}, l -> shiftright(aexp, l) % 2 = 0)"
+        asked = f"filter({level}, l -> shiftright(aexp, l) % 2 = 1)"
+        nodes = F.expr(
+            f"IF(is_commit = 1, transform({own}, l -> struct(l AS level, shiftright(aexp, l) AS node)),"
+            f" transform({asked}, l -> struct(l AS level, shiftright(aexp, l) - 1 AS node)))"
+        )
+        rows = timeline.join(ranks, self.key).withColumn("_node", F.explode(nodes)).select("*", "_node.level", "_node.node")
+        known = prior_in_key(
+            rows.drop("_node"), ["project", "author", "level", "node"], "is_commit", span=span, block_rows=self.block_rows
+        )
+        expired = known.filter("is_commit = 0").groupBy(*self.key).agg(F.sum("prior_count").alias("expired"))
+        joined = ranks.join(expired, self.key, "left")
+        return joined.select(*self.key, "aexp", (F.col("aexp") - F.coalesce("expired", F.lit(0))).alias("arexp"))
+
     def author_experience(self) -> DataFrame:
         """aexp alone, without the cut-offs."""
         commits, span = self._ordered(with_cutoffs=False)
@@ -292,7 +325,7 @@ class ChangeHistory:
 
     def metrics(self) -> DataFrame:
         """The twelve change metrics of every commit that touches a relevant file."""
-        self._ordered(with_cutoffs=True)
+        self._ordered(with_cutoffs=not self.seq)
         self._keep_entries()
         parts = [self.file_history(), self.developer_count(), self.author_history(), self.subsystem_experience()]
         result = self.change_metrics()

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from changerisk.functions import text
-from changerisk.operators.history import commit_time
+from changerisk.operators.history import ChangeHistory, commit_time
 from changerisk.plans.catalog.registry import query
-from changerisk.plans.catalog.roles import HISTORY, change_history, commits
+from changerisk.plans.catalog.roles import HISTORY, SUFFIXES, change_history, commits, file_changes
 
 for _name in ("la", "ld", "nf", "nd", "ns"):
 
@@ -49,6 +49,32 @@ def asexp(t):
     return change_history(t).subsystem_experience().select("commit_id", "asexp")
 
 
+# The same log run through in another order: by priority, then by date, so that dates go backwards.
+_IN_ORDER = HISTORY.replace(
+    "row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos",
+    "row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS pos",
+) + """,
+    mine AS (SELECT project, commit_id, author, epoch, pos FROM commits),
+    recent AS (
+        SELECT a.commit_id, count(b.commit_id) AS aexp, count(b.commit_id) FILTER (b.epoch >= a.epoch - 31536000) AS arexp
+        FROM mine a LEFT JOIN mine b ON a.project = b.project AND a.author = b.author AND b.pos < a.pos GROUP BY ALL),
+    idle AS (
+        SELECT commit_id, sum(lookups * greatest(coalesce(epoch - last_touch, 0), 0)) / sum(lookups) AS age
+        FROM file_facts WHERE lookups > 0 GROUP BY commit_id)
+    SELECT commit_id, round(age, 4) AS age, nuc, ndev, aexp, arexp, asexp
+    FROM idle JOIN file_history USING (commit_id) JOIN developers USING (commit_id) JOIN recent USING (commit_id)
+         JOIN area_history USING (commit_id)"""
+
+
+@query("history_in_order", _IN_ORDER.replace("SELECT commit_id, round(age, 4)", "SELECT commit_id, round(idle.age, 4)"))
+def history_in_order(t):
+    priority = t.orders.select(F.col("o_orderkey").alias("commit_id"), "o_orderpriority")
+    seq = F.struct("o_orderpriority", "author_date", "commit_id")
+    log = commits(t).join(priority, "commit_id").withColumn("place", seq)
+    history = ChangeHistory(log, file_changes(t), SUFFIXES, seq="place")
+    return history.metrics().select("commit_id", F.round("age", 4).alias("age"), "nuc", "ndev", "aexp", "arexp", "asexp")
+
+
 @query(
     "author_key",
     """SELECT o_orderkey AS commit_id, CASE WHEN o_orderstatus = 'F' THEN c_name WHEN o_orderstatus = 'P'
