@@ -54,7 +54,6 @@ CPP_SUFFIXES = (".cpp", ".cc", ".hpp", ".h")
 CPP_LABEL_SUFFIXES = (".cpp", ".cc", ".hpp", ".h", ".cxx", ".c")
 
 # Limits that are part of the semantics.
-NEWEST_COMMITS_PER_PROJECT = 2000
 FILES_PER_FIX = 21
 COMMIT_ID_LENGTH = 40
 RECENT_SECONDS = 365 * 24 * 3600
@@ -71,8 +70,6 @@ CONCENTRATION_RANKS = (1, 5, 10, 25)
 STRONG_CORRELATIONS = (0.30, 0.50, 0.70)
 NEAR_ZERO = 0.01
 HISTOGRAM_BINS = 50
-CORRELATION_ROWS = 5000
-PCA_FIT_ROWS = 10_000
 PCA_COMPONENTS = 384
 PCA_SWEEP = (768, 512, 384, 256)
 VARIANCE_TO_KEEP = 0.99
@@ -117,5 +114,5 @@ EXPERIMENTS = {
     4: (("metrics", "vectors"), ("random_forest", "boosted_trees")),
     5: (("metrics", "reasoning"), ("random_forest", "boosted_trees")),
     6: (("vectors", "reasoning"), ("random_forest", "boosted_trees")),
-    7: (("metrics", "vectors", "reasoning"), ("random_forest", "boosted_trees", "lightgbm")),
+    7: (("metrics", "vectors", "reasoning"), ("random_forest", "boosted_trees", "boosted_trees_fine")),
 }

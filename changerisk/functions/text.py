@@ -54,13 +54,6 @@ def changed_path(old_path: Column, new_path: Column) -> Column:
     return normalize_path(F.coalesce(_given(new_path), _given(old_path)))
 
 
-def relevant_path(old_path: Column, new_path: Column, suffixes: Suffixes) -> Column:
-    """The new path if relevant, else the old path if relevant, else null."""
-    return normalize_path(
-        F.when(file_is_relevant(new_path, suffixes), new_path).when(file_is_relevant(old_path, suffixes), old_path)
-    )
-
-
 def directory(path: Column) -> Column:
     """Parent directory; null for files at the root."""
     name = F.substring_index(path, "/", -1)

@@ -33,15 +33,31 @@ def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
-def dedupe_by_key(df: DataFrame, key: str = "commit_id", order_by: Sequence[str] = (), keep: str | bool = "first") -> DataFrame:
-    """One row per key: the first or last by ``order_by`` (then the other columns), or, with
-    ``keep=False``, only rows whose key is unique.
+def dedupe_by_key(
+    df: DataFrame,
+    key: str = "commit_id",
+    order_by: Sequence[str] = (),
+    keep: str | bool = "first",
+    prefer: Sequence[str] = (),
+) -> DataFrame:
+    """One row per key: the first or last by ``order_by``, or, with ``keep=False``, only rows whose
+    key is unique.
+
+    Rows equal in ``order_by`` are told apart by known values in ``prefer``, then in the other
+    columns, then by the values: a missing value never wins over a known one. Give an order column
+    to have the first row of the input kept, as a table has no order of its own.
 
     An aggregate, not a window: copies collapse before the shuffle, however many a key has.
     """
-    require_columns(df, [key, *order_by])
+    require_columns(df, [key, *order_by, *prefer])
     rest = [c for c in df.columns if c != key and c not in order_by]
-    row = F.struct(*order_by, *rest)
+
+    def known_first(name: str) -> Column:
+        return ~is_missing(df, name) if keep == "last" else is_missing(df, name)
+
+    marks = [known_first(name).alias(f"_m{i}") for i, name in enumerate([*order_by, *prefer, *rest])]
+    ordered, others = marks[: len(order_by)], marks[len(order_by) :]
+    row = F.struct(*[c for pair in zip(ordered, order_by) for c in pair], *others, *rest)
     picked = F.max(row) if keep == "last" else F.min(row)
     kept = df.groupBy(key).agg(picked.alias("_row"), *([] if keep else [F.count("*").alias("_n")]))
     if not keep:
@@ -49,6 +65,13 @@ def dedupe_by_key(df: DataFrame, key: str = "commit_id", order_by: Sequence[str]
     return kept.select(*[F.col(c) if c == key else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
+def select_features(df: DataFrame, features: Sequence[str], target: str = "buggy", keep: Sequence[str] = ()) -> DataFrame:
+    """The features, the target and columns to ``keep``, in the order given; missing ones raise."""
+    wanted = list(dict.fromkeys([*keep, *features, target]))
+    require_columns(df, wanted)
+    return df.select(*wanted)
+
+
 def drop_missing_target(df: DataFrame, target: str = "buggy") -> DataFrame:
     """Rows with a known target."""
     return df.filter(~is_missing(df, target))
@@ -131,12 +154,14 @@ def clean_commits(
     """
     require_columns(df, [key, target, *features])
     spark = df.sparkSession
-    unique = dedupe_by_key(df, key, order_by, keep)
+    unique = dedupe_by_key(df, key, order_by, keep, prefer=[target])
     # The statistics take several passes: over the narrow columns, computed once.
     narrow = freeze(unique.select(target, *[name for name in features if name != target]))
     values, before = fill_values(drop_missing_target(narrow, target), features, strategy, explicit)
     cleaned = apply_fill(drop_missing_target(unique, target), values)
 
+    filled = apply_fill(drop_missing_target(narrow, target), values)
+    after = {r["column_name"]: r["missing"] for r in missing_counts(filled, features).collect()} if features else {}
     initial = df.count()
     sizes = narrow.agg(F.count("*").alias("rows"), F.count_if(is_missing(narrow, target)).alias("unknown")).first()
     report = [
@@ -145,7 +170,7 @@ def clean_commits(
             initial - sizes["rows"],
             sizes["unknown"],
             before,
-            {name: 0 for name in features},
+            after,
             {name: float(value) for name, value in values.items()},
             sizes["rows"] - sizes["unknown"],
         )

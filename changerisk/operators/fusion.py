@@ -46,8 +46,5 @@ def encode_reasoning(
 
 
 def fuse_features(sources: Sequence[DataFrame], key: str = "commit_id") -> DataFrame:
-    """Rows present in every source, with the columns of all.
-
-    Every source has a row per commit, so none is broadcast on an estimate.
-    """
-    return reduce(lambda left, right: left.join(right.hint("merge"), key), sources)
+    """Rows present in every source, with the columns of all; Spark picks the joins by measured sizes."""
+    return reduce(lambda left, right: left.join(right, key), sources)

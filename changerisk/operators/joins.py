@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changerisk.errors import SchemaMismatchError
-from changerisk.operators.clean import missing_counts
 
 
 def merge_on_key(left: DataFrame, right: DataFrame, key: str = "commit_id") -> DataFrame:
@@ -16,11 +15,6 @@ def merge_on_key(left: DataFrame, right: DataFrame, key: str = "commit_id") -> D
     return left.join(right, key, "inner")
 
 
-def merge_report(merged: DataFrame) -> DataFrame:
-    """Nulls per column of a merged table."""
-    return missing_counts(merged, merged.columns)
-
-
 def semi_commits(traversed: DataFrame, listed: DataFrame, keys: Sequence[str] = ("project", "commit_id")) -> DataFrame:
     """Traversed rows whose keys are listed; repeated listings collapse before the shuffle."""
     return traversed.join(listed.select(*keys).distinct(), list(keys), "left_semi")
@@ -46,9 +40,15 @@ def distinct_projects(df: DataFrame, column: str = "project") -> DataFrame:
     return df.select(column).distinct().orderBy(column)
 
 
+_EXACT = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS XXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
 def row_digest(columns: Sequence[str]):
-    """Fixed-length stand-in for a whole row, so that grouping by it shuffles no long text."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+    """Fixed-length stand-in for a whole row, so that grouping by it shuffles no long text.
+
+    Times are written to the microsecond, and nulls as such.
+    """
+    return F.sha2(F.to_json(F.struct(*columns), {**_EXACT, "ignoreNullFields": "false"}), 256)
 
 
 def duplicate_rows(df: DataFrame, ignore: Sequence[str] = ("embedding",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -16,10 +17,13 @@ from pyspark.sql import types as T
 from changerisk.errors import ChangeRiskError
 from changerisk.fixed_values import SEED
 from changerisk.operators.metrics import classification_metrics
-from changerisk.runtime import checkpoint_dir
+from changerisk.runtime import freeze
 
 _WEIGHT = "_weight"
 
+# Rows of a training task.
+ROWS_PER_TASK = 50_000
+
 
 def class_weights(df: DataFrame, label: str = "buggy") -> DataFrame:
     """Balanced weight per label value: n / (classes * n of the class)."""
@@ -57,7 +61,7 @@ def boosted_trees(rounds: int = 100, learning_rate: float = 0.1, max_depth: int
     )
 
 
-def lightgbm(rounds: int = 100, learning_rate: float = 0.1, max_depth: int = 5, seed: int = SEED, **params) -> Estimator:
+def boosted_trees_fine(rounds: int = 100, learning_rate: float = 0.1, max_depth: int = 5, seed: int = SEED, **params) -> Estimator:
     """A second boosted configuration: shallower trees, finer bins, a row sample per tree."""
     params = {"maxBins": 128, "subsamplingRate": 0.8, "minInstancesPerNode": 20, **params}
     return boosted_trees(rounds, learning_rate, max_depth, seed, **params)
@@ -66,7 +70,7 @@ def lightgbm(rounds: int = 100, learning_rate: float = 0.1, max_depth: int = 5,
 _MODELS: dict[str, Callable[..., Estimator]] = {
     "random_forest": random_forest,
     "boosted_trees": boosted_trees,
-    "lightgbm": lightgbm,
+    "boosted_trees_fine": boosted_trees_fine,
 }
 
 
@@ -109,9 +113,11 @@ def train(
     name: str, train_rows: DataFrame, features: Sequence[str], label: str = "buggy", weight: Column | None = None, **params
 ):
     """Fit a model; ``weight`` gives each row its weight."""
-    checkpoint_dir(train_rows.sparkSession)
     ready = assemble(train_rows.select(*dict.fromkeys([*features, label])), features)
     ready = ready.select("features", F.col(label).cast("double").alias("label"), (weight if weight is not None else F.lit(1.0)).alias(_WEIGHT))
+    # A fit is hundreds of short jobs over the same rows: computed once, in no more tasks than rows warrant.
+    ready = freeze(ready)
+    ready = ready.coalesce(max(1, math.ceil(ready.count() / ROWS_PER_TASK)))
     estimator = model_factory(name, **params)
     return estimator.setParams(featuresCol="features", labelCol="label", weightCol=_WEIGHT).fit(ready)
 
@@ -129,9 +135,9 @@ def train_boosted_trees(
     return train("boosted_trees", train_rows, features, label, weight, **params)
 
 
-def train_lightgbm(train_rows: DataFrame, features: Sequence[str], label: str = "buggy", **params):
-    """The third model of the fused experiment."""
-    return train("lightgbm", train_rows, features, label, **params)
+def train_boosted_trees_fine(train_rows: DataFrame, features: Sequence[str], label: str = "buggy", **params):
+    """The third model of the fused experiment, a preset of the boosted trees."""
+    return train("boosted_trees_fine", train_rows, features, label, **params)
 
 
 def predictions(model, rows: DataFrame, features: Sequence[str], keep: Sequence[str], label: str = "buggy") -> DataFrame:
@@ -157,6 +163,18 @@ def feature_importance(model, names: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def wide_predictions(scored: dict[str, DataFrame], keep: Sequence[str] = ("commit_id",)) -> DataFrame:
+    """Predictions of several models side by side: the key columns, the label, and per model
+    ``<model>_pred`` and ``<model>_score``. The tables must hold the same commits, once each.
+    """
+    key, result = keep[0], None
+    for name, rows in scored.items():
+        own = [F.col("y_pred").alias(f"{name}_pred"), F.col("y_score").alias(f"{name}_score")]
+        part = rows.select(*(keep if result is None else [key]), *(["y_true"] if result is None else []), *own)
+        result = part if result is None else result.join(part, key)
+    return result
+
+
 def evaluate(scored: DataFrame) -> DataFrame:
     """Metrics of a predictions table."""
     return classification_metrics(scored, "y_true", "y_pred", "y_score")

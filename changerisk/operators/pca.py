@@ -1,4 +1,4 @@
-"""Principal components: fit on a sample, transform everything, evaluate prefixes."""
+"""Principal components: fit, transform, evaluate prefixes."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changerisk.fixed_values import PCA_COMPONENTS, PCA_FIT_ROWS, PCA_SWEEP, SEED, VARIANCE_TO_KEEP
+from changerisk.fixed_values import PCA_COMPONENTS, PCA_SWEEP, SEED, VARIANCE_TO_KEEP
 from changerisk.functions.vectors import fold
 from changerisk.operators.sampling import random_subset
 from changerisk.operators.split import random_holdout
@@ -29,13 +29,13 @@ def pca_fit(
     k: int = PCA_COMPONENTS,
     *,
     key: str | None = "commit_id",
-    sample_rows: int | None = PCA_FIT_ROWS,
+    sample_rows: int | None = None,
     seed: int = SEED,
 ) -> PipelineModel:
-    """Mean and top ``k`` components of a sample of the rows (of all, with ``sample_rows=None``).
+    """Mean and top ``k`` components of all rows, or of a random sample of ``sample_rows``.
 
-    The sample is drawn by hash, so it does not favour whatever the table starts with. Spark's
-    own PCA leaves the mean in, hence the centring stage before it.
+    A sample is drawn by hash of ``key``, so it does not favour whatever the table starts with.
+    Spark's own PCA leaves the mean in, hence the centring stage before it.
     """
     rows = df.select(*([key] if key else []), vector).filter(F.col(vector).isNotNull())
     if sample_rows is not None:
@@ -54,9 +54,12 @@ def pca_parts(model: PipelineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def pca_transform(df: DataFrame, model: PipelineModel, vector: str = "embedding") -> DataFrame:
-    """Replace each vector by its component scores."""
-    scored = model.transform(_with_vector(df, vector)).withColumn(vector, vector_to_array("_scores"))
-    return scored.select(*df.columns)
+    """Replace each vector by its component scores; null vectors stay null."""
+    size = len(pca_parts(model)[0])
+    known = F.coalesce(F.col(vector).cast("array<double>"), F.array_repeat(F.lit(0.0), size))
+    scored = model.transform(df.withColumn("_raw", array_to_vector(known)))
+    scores = F.when(F.col(vector).isNotNull(), vector_to_array("_scores"))
+    return scored.withColumn(vector, scores).select(*df.columns)
 
 
 def pca_inverse(df: DataFrame, model: PipelineModel, vector: str = "embedding") -> DataFrame:
@@ -113,7 +116,7 @@ def pca_sweep(
     One fit at the largest valid size serves all of them, since smaller models are prefixes, and
     components are orthonormal, so errors follow from the scores without reconstruction.
     """
-    df = df.select(key, vector).filter(F.col(vector).isNotNull())
+    df = freeze(df.select(key, vector).filter(F.col(vector).isNotNull()))  # several passes follow
     train, test = random_holdout(df, key, test_fraction, seed)
     size, train_rows = df.select(F.size(vector)).first()[0], train.count()
     limit = min(train_rows, size)

@@ -96,8 +96,8 @@ def histogram(df: DataFrame, value: Column, bins: int = HISTOGRAM_BINS) -> DataF
 
 
 def text_length_histograms(df: DataFrame, columns: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Length histograms of the first three string columns."""
-    names = list(columns or text_columns(df))[:3]
+    """Length histograms of all string columns, or of those named."""
+    names = list(columns or text_columns(df))
     parts = [histogram(df, _length(name), bins).withColumn("column_name", F.lit(name)) for name in names]
     result = parts[0]
     for part in parts[1:]:

@@ -11,23 +11,24 @@ from pyspark.sql import types as T
 
 from changerisk.errors import EmptyInputError, require_columns
 from changerisk.fixed_values import FIRST_YEAR, LAST_YEAR, SAMPLE_ROWS, SEED
+from changerisk.operators.ordering import with_position
 from changerisk.operators.selection import first_rows, md5_key, md5_number
 from changerisk.runtime import broadcast_if_small, freeze
 
 # A stratum is cut into this many hash buckets, given by four hex digits.
 _BUCKET_DIGITS = 4
 
-# Above this, a plain top-n would send too many rows per task to the last one.
-_TOP_ROWS = 1000
-
 
 def filter_years(df: DataFrame, timestamp: str = "author_date", first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """Rows of the years ``first`` to ``last``; written as a range, so that scans can prune."""
+    """Rows of the years ``first`` to ``last`` in UTC; written as a range, so that scans can prune."""
     require_columns(df, [timestamp])
-    kind = df.schema[timestamp].dataType.simpleString()
+    kind = df.schema[timestamp].dataType
 
     def start(year: int) -> Column:
-        return F.lit(dt.datetime(year, 1, 1).isoformat(" ")).cast(kind)
+        moment = dt.datetime(year, 1, 1)
+        if isinstance(kind, T.TimestampType):  # an instant, whatever the session's time zone
+            return F.timestamp_seconds(F.lit(int(moment.replace(tzinfo=dt.timezone.utc).timestamp())))
+        return F.lit(moment.isoformat(" ")).cast(kind)
 
     return df.filter((F.col(timestamp) >= start(first)) & (F.col(timestamp) < start(last + 1)))
 
@@ -124,10 +125,14 @@ def top_projects(df: DataFrame, column: str = "project", n: int = 10) -> DataFra
 
 
 def head_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """First ``n`` rows by a unique key; many rows by a whole-number key are cut off, not gathered."""
-    if n > _TOP_ROWS and isinstance(df.schema[key].dataType, T.IntegralType):
+    """First ``n`` rows by a unique key; the last of them is found first, and no rows are gathered."""
+    if isinstance(df.schema[key].dataType, T.IntegralType):
         return df.filter(first_rows(df, F.col(key), [key], n))
-    return df.orderBy(key).limit(n)
+    keys, rows = with_position(df.filter(F.col(key).isNotNull()).select(key), [F.col(key)])
+    if n >= rows:
+        return df.filter(F.col(key).isNotNull()) if n == rows else df
+    last = keys.filter(F.col("pos") == n - 1).first()
+    return df.filter(F.col(key) <= F.lit(last[key])) if last else df.limit(0)
 
 
 def skip_tail(df: DataFrame, key: str, skip: int = 1100, show: int = 5) -> DataFrame:
@@ -137,8 +142,6 @@ def skip_tail(df: DataFrame, key: str, skip: int = 1100, show: int = 5) -> DataF
 
 def random_subset(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows without replacement (all if there are fewer), reproducible by key and seed."""
-    if n <= _TOP_ROWS:
-        return df.orderBy(md5_key([key], seed), key).limit(n)
     if df.count() <= n:
         return df
     return df.filter(first_rows(df, md5_number([key], seed), [key], n))

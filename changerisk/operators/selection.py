@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from changerisk.operators.ordering import with_position
 
-# Histogram resolution of one zoom step, and rows one task may sort at the end.
+# Histogram resolution of one zoom step, and rows of a bin that are read instead of zoomed in on.
 _BINS = 65_536
-_SORT_ROWS = 1_000_000
+_READ_ROWS = 65_536
 
 
 @dataclass
@@ -25,32 +25,44 @@ class RankedValue:
     equal: int
 
 
-def _bin(value: Column, low: Column, high: Column) -> Column:
-    share = (value - low) / (high - low)
-    return F.when(high > low, F.least(F.floor(share * _BINS), F.lit(_BINS - 1))).otherwise(F.lit(0))
+def _bin(value: Column, low: float, high: float, exact: bool) -> Column:
+    if high <= low:
+        return F.lit(0).cast("bigint")
+    if exact:  # whole numbers, also where a double would round them and a difference would overflow
+        step = (high - low) // _BINS + 1
+        wide = value.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+        return F.floor(wide / F.lit(step).cast("decimal(20,0)")).cast("bigint")
+    share = (value - F.lit(low)) / F.lit(high - low)
+    return F.least(F.floor(share * _BINS), F.lit(_BINS - 1))
 
 
 def ranked_values(
     df: DataFrame,
     wanted: Mapping[str, tuple[Column, int]],
     ranges: Mapping[str, tuple[float, float]],
+    exact: bool = False,
 ) -> dict[str, RankedValue]:
-    """The values at 0-based ranks of numeric columns, nulls ignored.
+    """The values at 0-based ranks of numeric columns, nulls ignored; ``exact`` for whole numbers.
 
     ``wanted`` maps a name to (column, rank) and ``ranges`` to that column's min and max. Each
     pass scans the columns once, counts rows per bin inside the current ranges, and narrows
     every range to the bin holding the rank. A pass divides a range by 65,536 and ends for a
-    name when its bin holds one value, so ties cost nothing and the shuffle stays small.
+    name when its bin holds one value, or few rows, whose values are counted one by one; ties
+    cost nothing and the shuffle stays small.
     """
-    state = {name: [*ranges[name], rank, 0] for name, (_, rank) in wanted.items()}
+    kind = "bigint" if exact else "double"
+    number = int if exact else float
+    state = {name: [*map(number, ranges[name]), rank, 0, False] for name, (_, rank) in wanted.items()}
     found: dict[str, RankedValue] = {}
     while state:
         names = list(state)
         entries = []
         for index, name in enumerate(names):
-            value = wanted[name][0].cast("double")
-            low, high = (F.lit(float(edge)) for edge in state[name][:2])
-            entry = F.struct(F.lit(index).alias("name"), _bin(value, low, high).alias("bin"), value.alias("value"))
+            value = wanted[name][0].cast(kind)
+            low, high, _, _, few = state[name]
+            place = value if few else _bin(value, low, high, exact)
+            entry = F.struct(F.lit(index).alias("name"), place.cast(kind).alias("bin"), value.alias("value"))
+            low, high = F.lit(low).cast(kind), F.lit(high).cast(kind)
             entries.append(F.when(value.between(low, high), entry))
         rows = df.select(F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("e.*")
         bins = rows.groupBy("name", "bin").agg(
@@ -61,12 +73,12 @@ def ranked_values(
         hit = bins.withColumn("upto", upto).filter((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
         for row in hit.collect():  # one row per name
             name = names[row["name"]]
-            _, _, rank_left, below = state.pop(name)
+            _, _, rank_left, below, _ = state.pop(name)
             skipped = row["upto"] - row["n"]
             if row["low"] == row["high"]:
                 found[name] = RankedValue(row["low"], below + skipped, row["n"])
             else:
-                state[name] = [row["low"], row["high"], rank_left - skipped, below + skipped]
+                state[name] = [row["low"], row["high"], rank_left - skipped, below + skipped, row["n"] <= _READ_ROWS]
     return found
 
 
@@ -131,17 +143,14 @@ def first_rows(
     if k > facts["n"]:
         at, tied, below = facts["n"], column.isNull(), column.isNotNull()
     else:
-        hit = ranked_values(df, {"k": (number, k - 1)}, {"k": (facts["low"], facts["high"])})["k"]
+        hit = ranked_values(df, {"k": (number, k - 1)}, {"k": (facts["low"], facts["high"])}, exact=True)["k"]
         at, edge = hit.below, as_value(F.lit(int(hit.value)))
         if hit.below + hit.equal == k:
             return F.coalesce(column <= edge, F.lit(False))
         tied, below = column == edge, column < edge
     rest = df.filter(tied).select(*ties)
     columns = [F.col(name) for name in ties]
-    if k - at <= _SORT_ROWS:
-        last = rest.orderBy(*columns).limit(k - at).orderBy(*[c.desc() for c in columns]).first()
-    else:
-        last = with_position(rest, columns)[0].filter(F.col("pos") == k - at - 1).first()
+    last = with_position(rest, columns)[0].filter(F.col("pos") == k - at - 1).first()
     if last is None:
         return F.coalesce(below, F.lit(False))
     return F.coalesce(below | (tied & _at_most(columns, [last[name] for name in ties])), F.lit(False))

@@ -11,30 +11,48 @@ from pyspark.sql import functions as F
 
 from changerisk.fixed_values import (
     CONCENTRATION_RANKS,
-    CORRELATION_ROWS,
     CUMULATIVE_SHARES,
     HISTOGRAM_BINS,
     NEAR_ZERO,
     SEED,
     STRONG_CORRELATIONS,
 )
-from changerisk.functions.vectors import vector_norm
+from changerisk.functions.vectors import fold, vector_norm
 from changerisk.operators.profile import histogram
 from changerisk.operators.sampling import random_subset
+from changerisk.runtime import freeze
 
 
 def embedding_summary(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row over all cells: min, max, mean, std, mean |x|, mean length of a vector, % near zero."""
-    cells = df.select(vector_norm(F.col(vector)).alias("norm"), F.posexplode(vector).alias("dim", "raw"))
-    x = F.col("raw").cast("double")
-    return cells.agg(
-        F.min(x).alias("min_value"),
-        F.max(x).alias("max_value"),
-        F.avg(x).alias("mean_value"),
-        F.stddev_pop(x).alias("std_value"),
-        F.avg(F.abs(x)).alias("mean_abs"),
-        F.avg(F.when(F.col("dim") == 0, F.col("norm"))).alias("mean_norm"),
-        (F.avg(F.when(F.abs(x) < NEAR_ZERO, 1.0).otherwise(0.0)) * 100).alias("near_zero_percent"),
+    """One row over all cells: min, max, mean, std, mean |x|, mean length of a vector, % near zero.
+
+    Each vector is folded to a few numbers in its row; null vectors and null cells do not count.
+    The deviation is put together from each vector's own and that of the vectors' means.
+    """
+    cells = F.filter(F.col(vector).cast("array<double>"), lambda x: x.isNotNull())
+    rows = df.filter(F.col(vector).isNotNull()).select(cells.alias("v")).filter(F.size("v") > 0)
+    n, mean = F.size("v").cast("double"), fold(F.col("v"), lambda x: x) / F.size("v")
+    rows = rows.withColumns({"n": n, "mean": mean})
+    rows = rows.select(
+        "n",
+        "mean",
+        F.array_min("v").alias("low"),
+        F.array_max("v").alias("high"),
+        fold(F.col("v"), lambda x: (x - F.col("mean")) * (x - F.col("mean"))).alias("inside"),
+        fold(F.col("v"), F.abs).alias("sizes"),
+        vector_norm(F.col("v")).alias("norm"),
+        F.size(F.filter("v", lambda x: F.abs(x) < NEAR_ZERO)).alias("near"),
+    )
+    total = F.sum("n")
+    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.sum(F.col("n") * F.col("mean")) ** 2 / total
+    return rows.agg(
+        F.min("low").alias("min_value"),
+        F.max("high").alias("max_value"),
+        (F.sum(F.col("n") * F.col("mean")) / total).alias("mean_value"),
+        F.sqrt((F.sum("inside") + F.greatest(between, F.lit(0.0))) / total).alias("std_value"),
+        (F.sum("sizes") / total).alias("mean_abs"),
+        F.avg("norm").alias("mean_norm"),
+        (F.sum("near") / total * 100).alias("near_zero_percent"),
     )
 
 
@@ -107,14 +125,17 @@ def variance_spread(shares: DataFrame, ranks: tuple[int, ...] = CONCENTRATION_RA
 
 
 def correlation_pairs(
-    df: DataFrame, vector: str = "embedding", key: str = "commit_id", rows: int = CORRELATION_ROWS, seed: int = SEED
+    df: DataFrame, vector: str = "embedding", key: str = "commit_id", rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
-    """Pearson correlation of all dimension pairs a < b on at most ``rows`` rows; undefined gives 0.
+    """Pearson correlation of all dimension pairs a < b; undefined gives 0.
 
-    The products are summed by a tree of tasks; only the d x d result reaches the driver.
+    All rows count, unless ``rows`` asks for a random sample of that many by ``key``. The
+    products are summed by a tree of tasks; only the d x d result reaches the driver.
     """
-    sample = random_subset(df.select(key, vector).filter(F.col(vector).isNotNull()), key, rows, seed)
-    vectors = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    known = df.filter(F.col(vector).isNotNull())
+    if rows is not None:
+        known = random_subset(known.select(key, vector), key, rows, seed)
+    vectors = known.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     matrix = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray(), nan=0.0, posinf=0.0, neginf=0.0)
     a, b = np.triu_indices_from(matrix, k=1)
     pairs = pd.DataFrame({"dimension_a": a.astype("int32"), "dimension_b": b.astype("int32"), "correlation": matrix[a, b]})
@@ -152,14 +173,14 @@ def dimension_histogram(
     return histogram(dimension_stats(df, vector), F.col(what), bins)
 
 
-def pca_readiness(df: DataFrame, vector: str = "embedding", key: str = "commit_id", rows: int = CORRELATION_ROWS) -> DataFrame:
+def pca_readiness(df: DataFrame, vector: str = "embedding", key: str = "commit_id", rows: int | None = None) -> DataFrame:
     """All diagnostics as (section, name, value)."""
 
     def long(one_row: DataFrame, section: str) -> DataFrame:
         pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in one_row.columns]
         return one_row.select(F.lit(section).alias("section"), F.inline(F.array(*pairs)))
 
-    shares = variance_share(dimension_stats(df, vector))
+    shares = freeze(variance_share(dimension_stats(df, vector)))  # one row per dimension
     pairs = correlation_pairs(df, vector, key, rows)
     reach = dims_to_reach(shares).select(
         F.lit("reach").alias("section"),

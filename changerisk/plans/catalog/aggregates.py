@@ -133,11 +133,17 @@ def text_length_stats(t):
 
 
 @query("text_length_histogram", """
-    WITH edges AS (SELECT min(length(text))::DOUBLE AS low, max(length(text))::DOUBLE AS high FROM documents)
-    SELECT least(floor((length(text) - low) / (high - low) * 50), 49)::INTEGER AS bin, count(*) AS count
-    FROM documents, edges GROUP BY bin""")
+    WITH lengths AS (
+        SELECT unnest(['text', 'lang', 'source']) AS column_name, unnest([length(text), length(lang), length(source)])::DOUBLE AS n
+        FROM documents),
+    spans AS (SELECT column_name, min(n) AS least_n, max(n) AS most_n FROM lengths GROUP BY column_name),
+    edges AS (
+        SELECT column_name, CASE WHEN least_n = most_n THEN least_n - 0.5 ELSE least_n END AS low,
+               CASE WHEN least_n = most_n THEN most_n + 0.5 ELSE most_n END AS high FROM spans)
+    SELECT column_name, least(floor((n - low) / (high - low) * 50), 49)::INTEGER AS bin, count(*) AS count
+    FROM lengths JOIN edges USING (column_name) GROUP BY ALL""")
 def text_length_histogram(t):
-    return profile.text_length_histograms(t.documents, ["text"]).filter("count > 0").select("bin", "count")
+    return profile.text_length_histograms(t.documents).filter("count > 0").select("column_name", "bin", "count")
 
 
 @query("summary_report", """

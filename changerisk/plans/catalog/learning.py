@@ -1,87 +1,107 @@
-"""Training, scoring and whole experiments. Trees have no SQL form, so only rows are checked."""
+"""Training, scoring and whole experiments.
+
+SQL cannot grow trees, but it knows what they must find: the label is a threshold of one feature,
+so full-size models predict it exactly, and every metric and the leading feature follow.
+"""
 
 from pyspark.sql import functions as F
 
 from changerisk.fixed_values import CHANGE_METRICS
 from changerisk.operators import models, split
 from changerisk.plans.catalog.registry import query
-from changerisk.plans.catalog.roles import LABELLED_ORDERS, change_history, labelled_orders, labelled_vectors
+from changerisk.plans.catalog.roles import HISTORY, change_history, labelled_orders
 from changerisk.plans.experiment import run_experiment
 from changerisk.runtime import freeze
 
-FEATURES = ["embedding"]
+FEATURES = ["p_size", "p_retailprice"]
+BINS = {"maxBins": 64}  # a bin for each of the 50 sizes
 
 
-def vector_sides(t):
-    rows = freeze(labelled_vectors(t))
-    return split.random_holdout(rows, "commit_id")
+def part_sides(t):
+    """Parts as commits: large ones are faulty."""
+    rows = t.part.select(F.col("p_partkey").alias("commit_id"), *FEATURES, (F.col("p_size") > 25).cast("int").alias("buggy"))
+    return split.random_holdout(freeze(rows), "commit_id")
 
 
-_TEST_KEYS = """
-    SELECT vec_id AS commit_id, CASE WHEN label % 5 = 0 THEN 1 ELSE 0 END AS y_true FROM embeddings
-    QUALIFY row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id)
-            > floor((SELECT count(*) FROM embeddings) * 0.8::DOUBLE)"""
+_TEST = """
+    WITH test AS (
+        SELECT p_partkey AS commit_id, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS y FROM part
+        QUALIFY row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR) || ':42'), p_partkey)
+                > floor((SELECT count(*) FROM part) * 0.8::DOUBLE))"""
+_PREDICTED = _TEST + "SELECT commit_id, y AS y_true, y AS y_pred, y AS likely FROM test"
 
 
-def scored(t, name, **params):
-    train, test = vector_sides(t)
+def fitted(t, name):
+    """A full-size model and its predictions on the held-out parts."""
+    train, test = part_sides(t)
     if name == "random_forest":
-        model = models.train_random_forest(train, FEATURES, **params)
+        model = models.train_random_forest(train, FEATURES, **BINS)
     elif name == "boosted_trees":
-        model = models.train_boosted_trees(train, FEATURES, positive_weight=models.scale_pos_weight(train), **params)
+        model = models.train_boosted_trees(train, FEATURES, positive_weight=models.scale_pos_weight(train), **BINS)
     else:
-        model = models.train_lightgbm(train, FEATURES, **params)
+        model = models.train_boosted_trees_fine(train, FEATURES)
     return model, models.predictions(model, test, FEATURES, ["commit_id"])
 
 
-@query("train_random_forest")
+def checked(scored):
+    return scored.select("commit_id", "y_true", "y_pred", (F.col("y_score") >= 0.5).cast("int").alias("likely"))
+
+
+@query("train_random_forest", _PREDICTED)
 def train_random_forest(t):
-    return scored(t, "random_forest", num_trees=20, max_depth=8)[1]
+    return checked(fitted(t, "random_forest")[1])
 
 
-@query("train_boosted_trees")
+@query("train_boosted_trees", _PREDICTED)
 def train_boosted_trees(t):
-    return scored(t, "boosted_trees", rounds=5, max_depth=4)[1]
+    return checked(fitted(t, "boosted_trees")[1])
 
 
-@query("train_lightgbm")
-def train_lightgbm(t):
-    return scored(t, "lightgbm", rounds=5, max_depth=4, minInstancesPerNode=5)[1]
+@query("train_lightgbm", _PREDICTED)
+def train_boosted_trees_fine(t):
+    return checked(fitted(t, "boosted_trees_fine")[1])
 
 
-@query("predictions", _TEST_KEYS)
+@query("predictions", _PREDICTED)
 def predictions(t):
-    return scored(t, "random_forest", num_trees=5, max_depth=5)[1].select("commit_id", "y_true")
+    train, test = part_sides(t)
+    model = models.train("random_forest", train, FEATURES, **BINS)
+    return checked(models.predictions(model, test, FEATURES, ["commit_id"]))
+
+
+def both(t):
+    train, test = part_sides(t)
+    return {
+        name: models.predictions(models.train(name, train, FEATURES, **BINS), test, FEATURES, ["commit_id"])
+        for name in ("random_forest", "boosted_trees")
+    }
 
 
-@query("model_factory")
+@query("model_factory", _TEST + """
+    SELECT commit_id, y AS y_true, y AS random_forest_pred, y AS boosted_trees_pred, TRUE AS scores_agree FROM test""")
 def model_factory(t):
-    train, test = vector_sides(t)
-    parts = []
-    for name, params in (("random_forest", {"num_trees": 5, "max_depth": 5}), ("boosted_trees", {"rounds": 3, "max_depth": 3})):
-        model = models.train(name, train, FEATURES, **params)
-        parts.append(models.predictions(model, test, FEATURES, ["commit_id"]).withColumn("model", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+    wide = models.wide_predictions(both(t))
+    agree = (F.col("random_forest_score") >= 0.5) == (F.col("boosted_trees_score") >= 0.5)
+    return wide.select("commit_id", "y_true", "random_forest_pred", "boosted_trees_pred", agree.alias("scores_agree"))
 
 
-@query("feature_importance", f"SELECT unnest(['la', 'nf', 'ent']) AS feature, round(sum(1), 0) > 0 AS found FROM ({LABELLED_ORDERS})")
+@query("feature_importance", """
+    WITH sized AS (SELECT p_size, p_retailprice, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS y FROM part)
+    SELECT feature, 1.0::DOUBLE AS total
+    FROM (SELECT unnest(['p_size', 'p_retailprice']) AS feature, unnest([abs(corr(p_size, y)), abs(corr(p_retailprice, y))]) AS strength
+          FROM sized) ORDER BY strength DESC LIMIT 1""")
 def feature_importance(t):
-    facts = change_history(t).change_metrics().select("commit_id", "la", "nf", "ent")
-    rows = freeze(facts.join(labelled_orders(t).select("commit_id", "buggy"), "commit_id"))
-    features = ["la", "nf", "ent"]
-    model = models.train_random_forest(rows, features, num_trees=5, max_depth=5)
-    importance = models.feature_importance(model, features, t.spark)
-    return importance.select("feature", F.col("importance").isNotNull().alias("found"))
+    model, _ = fitted(t, "random_forest")
+    importance = models.feature_importance(model, FEATURES, t.spark)
+    return importance.agg(F.max_by("feature", "importance").alias("feature"), F.round(F.sum("importance"), 6).alias("total"))
 
 
-@query("model_comparison")
+@query("model_comparison", _TEST + """
+    SELECT unnest(['random_forest', 'boosted_trees']) AS model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS roc_auc, 1.0::DOUBLE AS f1,
+           count(*) FILTER (y = 0) AS tn, 0::BIGINT AS fp, 0::BIGINT AS fn, count(*) FILTER (y = 1) AS tp
+    FROM test""")
 def model_comparison(t):
-    train, test = vector_sides(t)
-    results = {}
-    for name, params in (("random_forest", {"num_trees": 10, "max_depth": 6}), ("boosted_trees", {"rounds": 3, "max_depth": 3})):
-        model = models.train(name, train, FEATURES, **params)
-        results[name] = models.predictions(model, test, FEATURES, ["commit_id"])
-    return models.model_comparison(results)
+    return models.model_comparison(both(t)).select("model", "accuracy", "roc_auc", "f1", "tn", "fp", "fn", "tp")
 
 
 def _sources(t):
@@ -89,7 +109,7 @@ def _sources(t):
     reasoning = t.orders.select(
         F.col("o_orderkey").alias("commit_id"),
         F.substring(segment, 1, 1).cast("int").alias("risk_level"),
-        (F.col("o_totalprice") / 500000.0).alias("confidence_score"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 500000.0).alias("confidence_score"),
     )
     vectors = t.embeddings.select(F.col("vec_id").alias("commit_id"), "embedding")
     return {
@@ -99,22 +119,43 @@ def _sources(t):
     }
 
 
-_SMALL = {
-    "random_forest": {"num_trees": 10, "max_depth": 6},
-    "boosted_trees": {"rounds": 3, "max_depth": 3},
-    "lightgbm": {"rounds": 3, "max_depth": 3},
-}
+def experiment(t, number):
+    return run_experiment(number, labelled_orders(t), _sources(t), first_year=1995, last_year=2001)
+
+
+def tested(outcome):
+    """Per model: rows and positives it was tested on, and whether its accuracy follows from its counts."""
+    comparison = outcome.comparison
+    rows = F.expr("tn + fp + fn + tp")
+    return comparison.select(
+        "model",
+        rows.alias("rows"),
+        F.expr("fn + tp").alias("positives"),
+        (F.abs(F.col("accuracy") - F.expr("tn + tp") / rows) < 1e-9).alias("consistent"),
+        F.lit(outcome.wide.count()).cast("bigint").alias("wide_rows"),
+    )
 
 
-def experiment(t, number):
-    return run_experiment(number, labelled_orders(t), _sources(t), first_year=1995, last_year=2001, params=_SMALL)
+# Orders that every source has; the last fifth of all orders by time is the test side.
+_TESTED = HISTORY + """,
+    placed AS (
+        SELECT o_orderkey AS commit_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
+               row_number() OVER (ORDER BY o_orderdate, o_orderkey) > floor((SELECT count(*) FROM orders) * 0.8) AS test
+        FROM orders)
+    SELECT unnest([MODELS]) AS model, count(*) AS rows, count(*) FILTER (y = 1) AS positives, TRUE AS consistent,
+           count(*) AS wide_rows
+    FROM placed WHERE test AND commit_id IN (SELECT commit_id FROM size)"""
 
 
-@query("experiment")
+@query("experiment", _TESTED.replace("MODELS", "'random_forest', 'boosted_trees'"))
 def experiment_metrics(t):
-    return experiment(t, 1).comparison
+    return tested(experiment(t, 1))
 
 
-@query("experiment_fused")
+@query(
+    "experiment_fused",
+    _TESTED.replace("MODELS", "'random_forest', 'boosted_trees', 'boosted_trees_fine'")
+    + " AND commit_id IN (SELECT vec_id FROM embeddings)",
+)
 def experiment_fused(t):
-    return experiment(t, 7).comparison
+    return tested(experiment(t, 7))

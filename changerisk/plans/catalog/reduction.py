@@ -8,7 +8,7 @@ vectors back.
 from pyspark.sql import functions as F
 
 from changerisk.functions.vectors import fold, vector_norm
-from changerisk.operators import pca
+from changerisk.operators import pca, split, vectors
 from changerisk.operators.embedding import embed_text as embed
 from changerisk.plans.catalog.registry import query
 from changerisk.runtime import scratch_path
@@ -70,9 +70,39 @@ def pca_inverse(t):
     return restored.select("vec_id", *[F.round(F.col("embedding")[i - 1], 4).alias(f"x{i}") for i in range(1, SIZE + 1)])
 
 
-@query("pca_evaluate")
+# What components explain and what reconstruction loses add up to the variance of the train side.
+_TRAIN = """
+    WITH train AS (
+        SELECT embedding FROM embeddings
+        QUALIFY row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id)
+                <= floor((SELECT count(*) FROM embeddings) * 0.8::DOUBLE)),
+    cells AS (
+        SELECT unnest(generate_series(0, len(embedding) - 1)) AS dimension, unnest(embedding)::DOUBLE AS x FROM train),
+    stats AS (SELECT dimension, var_samp(x) AS variance FROM cells GROUP BY dimension),
+    total AS (SELECT sum(variance) AS variance, count(*)::INTEGER AS size FROM stats)"""
+
+
+def accounted(t, results):
+    """Explained plus lost variance of each size, in place of its two parts."""
+    train, _ = split.random_holdout(t.embeddings.select("vec_id", "embedding"), "vec_id")
+    shares = vectors.variance_share(vectors.dimension_stats(train))
+    n = train.count()
+    population = shares.agg(F.sum("variance")).first()[0]
+    lost = F.col("train_reconstruction_mse") * SIZE
+    explained = F.col("explained_variance_ratio") * F.lit(population)
+    total = F.round((explained + lost) * n / (n - 1), 4)
+    kept = F.round(F.when(F.col("n_components") == SIZE, F.col("test_reconstruction_mse")), 6)
+    return results.select(
+        "n_components", total.alias("variance"), kept.alias("test_mse"), F.round("compression_ratio", 6).alias("compression"),
+        F.substring("status", 1, 7).alias("status"),
+    )
+
+
+@query("pca_evaluate", _TRAIN + """
+    SELECT 32 AS n_components, round(variance, 4) AS variance, CAST(NULL AS DOUBLE) AS test_mse,
+           round(size / 32.0::DOUBLE, 6) AS compression, 'ok' AS status FROM total""")
 def pca_evaluate(t):
-    return pca.pca_evaluate(t.embeddings, SIZE // 2, key="vec_id")
+    return accounted(t, pca.pca_evaluate(t.embeddings, SIZE // 2, key="vec_id"))
 
 
 @query("pca_evaluate_full", """
@@ -88,24 +118,76 @@ def sweep(t):
     return pca.pca_sweep(t.embeddings, components=(768, 64, 48, 32, 16), key="vec_id")
 
 
-@query("pca_sweep")
+@query("pca_sweep", _TRAIN + """
+    SELECT k AS n_components, CASE WHEN k <= size THEN round(variance, 4) END AS variance,
+           CASE WHEN k = size THEN 0.0::DOUBLE END AS test_mse, CASE WHEN k <= size THEN round(size / k::DOUBLE, 6) END AS compression,
+           CASE WHEN k <= size THEN 'ok' ELSE 'skipped' END AS status
+    FROM total, (SELECT unnest([768, 64, 48, 32, 16])::INTEGER AS k)""")
 def pca_sweep(t):
-    return sweep(t)
+    return accounted(t, sweep(t))
 
 
-@query("pca_recommend")
+@query("pca_recommend", """
+    WITH cells AS (
+        SELECT unnest(generate_series(0, len(embedding) - 1)) AS dimension, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    stats AS (SELECT dimension, var_pop(x) AS variance FROM cells GROUP BY dimension),
+    reached AS (
+        SELECT row_number() OVER (ORDER BY variance DESC, dimension) AS rank,
+               sum(variance) OVER (ORDER BY variance DESC, dimension) / sum(variance) OVER () AS share FROM stats)
+    SELECT min(rank)::INTEGER AS n_components, round(min(share), 6) AS explained_variance_ratio,
+           'smallest size that keeps enough variance' AS recommendation
+    FROM reached WHERE share >= 0.9""")
 def pca_recommend(t):
-    return pca.pca_recommend(sweep(t))
-
-
-@query("pca_projection_2d")
+    shares = vectors.variance_share(vectors.dimension_stats(t.embeddings))  # dimensions as components of their own
+    sizes = shares.select(
+        F.col("rank").alias("n_components"), F.col("cumulative_share").alias("explained_variance_ratio"), F.lit("ok").alias("status")
+    )
+    chosen = pca.pca_recommend(sizes, keep=0.9)
+    return chosen.withColumn("explained_variance_ratio", F.round("explained_variance_ratio", 6))
+
+
+# The squares of a component's scores sum up to its share of the whole sum of squares.
+@query("pca_projection_2d", _CENTRED + """
+    SELECT (SELECT count(*) FROM embeddings) AS rows, round(sum(variance) * ((SELECT count(*) FROM embeddings) - 1), 3) AS pc1_squares,
+           round(sum(variance) * ((SELECT count(*) FROM embeddings) - 1), 3) AS pc2_squares, TRUE AS in_order
+    FROM stats""")
 def pca_projection_2d(t):
     placed = pca.pca_projection_2d(t.embeddings, key="vec_id")
-    return placed.select("vec_id", *[F.round(F.abs(F.col(c)), 4).alias(c) for c in ("pc1", "pc2", "pc1_share", "pc2_share")])
+    squares = [F.round(F.sum(F.col(c) * F.col(c) / F.col(f"{c}_share")), 3).alias(f"{c}_squares") for c in ("pc1", "pc2")]
+    return placed.agg(F.count("*").alias("rows"), *squares, F.every(F.col("pc1_share") >= F.col("pc2_share")).alias("in_order"))
+
+
+# Texts whose words are cut to their first letter, "#" for all others: 27 tokens, which fall on
+# different places of a vector of this size, so that the vector is the list of their counts.
+LETTER_SIZE = 320
+
+_TOKENS = """
+    WITH words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents),
+    letters AS (
+        SELECT doc_id, CASE WHEN regexp_matches(word, '^[a-z]') THEN left(word, 1) ELSE '#' END AS letter, count(*) AS n
+        FROM words WHERE word <> '' GROUP BY ALL)
+    SELECT doc_id, 320 AS size, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS counts, 1.0::DOUBLE AS norm
+    FROM letters GROUP BY doc_id"""
+
+
+def letter_texts(documents):
+    words = F.regexp_replace(F.lower("text"), r"[^a-z\s]\S*|([a-z])\S*", "$1#")
+    return documents.withColumn("letters", F.regexp_replace(words, "([a-z])#", "$1"))
+
+
+def token_lengths(embedded):
+    """Word counts by token, regained from vectors of length one, and that length."""
+    words = F.size(F.filter(F.split("letters", r"\s+"), lambda word: word != ""))
+    scale = words / fold(F.col("embedding"), lambda x: x)
+    counts = F.filter(F.transform("embedding", lambda x: F.round(x * scale).cast("bigint")), lambda n: n > 0)
+    return embedded.select(
+        "doc_id",
+        F.size("embedding").alias("size"),
+        F.array_join(F.array_sort(counts), ",").alias("counts"),
+        F.round(vector_norm(F.col("embedding")), 4).alias("norm"),
+    )
 
 
-@query("embed_text", "SELECT doc_id, 256 AS size, 1.0::DOUBLE AS norm FROM documents")
+@query("embed_text", _TOKENS)
 def embed_text(t):
-    vectors = embed(t.documents.select("doc_id", "text"), "text", size=256)
-    norm = F.sqrt(fold(F.col("embedding"), lambda x: x * x))
-    return vectors.select("doc_id", F.size("embedding").alias("size"), F.round(norm, 4).alias("norm"))
+    return token_lengths(embed(letter_texts(t.documents), "letters", size=LETTER_SIZE))

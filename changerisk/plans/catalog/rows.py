@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from changerisk.fixed_values import FILES_PER_FIX
 from changerisk.functions import text
 from changerisk.functions.vectors import expand_embedding, vector_norm
 from changerisk.operators import clean, fusion, joins, labels, models, sampling
@@ -41,8 +42,7 @@ def drop_missing_target(t):
 @query("select_features", f"SELECT commit_id, project, buggy, CAST(epoch(author_date) AS BIGINT) AS epoch FROM ({LABELLED_ORDERS})")
 def select_features(t):
     df = labelled_orders(t).withColumn("epoch", F.unix_timestamp(F.col("author_date").cast("timestamp")))
-    clean.require_columns(df, ["commit_id", "epoch", "project", "buggy"])
-    return df.select("commit_id", "epoch", "project", "buggy")
+    return clean.select_features(df, ["epoch", "project"], keep=["commit_id"])
 
 
 @query(
@@ -88,7 +88,7 @@ def commit_filter(t):
     SELECT project, commit_id FROM commits
     QUALIFY row_number() OVER (PARTITION BY project ORDER BY author_date DESC, commit_id DESC) <= 2000""")
 def recent_n(t):
-    return recent_n_commits(commits(t)).select("project", "commit_id")
+    return recent_n_commits(commits(t), 2000).select("project", "commit_id")
 
 
 @query("head_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
@@ -135,7 +135,7 @@ def _fix_changes(t):
     WHERE message <> 'new' AND counted
     QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY ordinal, changed) <= 21""")
 def szz_candidates(t):
-    return labels.szz_candidates(_fix_changes(t), SUFFIXES)
+    return labels.szz_candidates(_fix_changes(t), SUFFIXES, FILES_PER_FIX)
 
 
 @query("szz_blamed", """
@@ -153,6 +153,29 @@ def szz_blamed(t):
     return labels.szz_blamed(t.lineitem.select(F.explode(lines).alias("line")).filter("line is not null"))
 
 
+@query("label_by_blame", HISTORY + """,
+    fixes AS (SELECT commit_id FROM commits WHERE message <> 'new' AND commit_id % 5 <> 0),
+    candidates AS (SELECT DISTINCT commit_id, changed FROM paths WHERE counted AND commit_id IN (SELECT commit_id FROM fixes)),
+    blamed AS (SELECT sha1(CAST(commit_id % 977 AS VARCHAR)) AS id FROM candidates WHERE changed NOT LIKE '%7.py')
+    SELECT sha1(CAST(commit_id AS VARCHAR)) AS commit_id, CASE WHEN message <> 'new' THEN 1 ELSE 0 END AS fix,
+           CASE WHEN sha1(CAST(commit_id AS VARCHAR)) IN (SELECT id FROM blamed) THEN 1 ELSE 0 END AS buggy
+    FROM commits""")
+def label_by_blame(t):
+    sha = lambda column: F.sha1(F.col(column).cast("string"))
+    log = commits(t).withColumn("parents", F.when(F.col("commit_id") % 5 == 0, 0).otherwise(1))
+    log = log.withColumn("commit_id", sha("commit_id"))
+    changed = file_changes(t).select(
+        F.col("commit_id").alias("number"), F.col("ordinal").alias("file_ordinal"), F.col("new_path").alias("file_path")
+    )
+    changed = changed.withColumn("fix_commit_id", sha("number"))
+    # Each file's blame names one commit; of some files only content lines are left.
+    named = F.concat_ws(" ", F.sha1((F.col("number") % 977).cast("string")), F.lit("1 1 1"))
+    line = F.when(F.col("file_path").endswith("7.py"), F.concat(F.lit("\t"), named)).otherwise(named)
+    blame = changed.select("fix_commit_id", "file_path", line.alias("line"))
+    labelled = labels.label_by_blame(log, changed.drop("number"), blame, SUFFIXES)
+    return labelled.select("commit_id", "fix", "buggy")
+
+
 @query("szz_label", HISTORY + """,
     touched AS (SELECT DISTINCT project, changed, commit_id, pos, message FROM paths WHERE counted),
     blamed AS (

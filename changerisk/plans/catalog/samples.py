@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from changerisk.operators import sampling, split
 from changerisk.plans.catalog.registry import query
 from changerisk.plans.catalog.roles import LABELLED_ORDERS, labelled_orders
-from changerisk.runtime import scratch_path
+from changerisk.runtime import freeze, scratch_path
 
 TARGET = 1000
 
@@ -75,7 +75,7 @@ def temporal_split(t):
            CASE side WHEN 'train' THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS ratio
     FROM sides GROUP BY side, buggy""")
 def split_report(t):
-    sample = subset(t)
+    sample = freeze(subset(t))
     return split.split_report(split.with_side(sample, split.chronological_train(sample, "author_date", "commit_id")))
 
 

@@ -18,7 +18,11 @@ from changerisk.sources.sinks import write_report
 
 @dataclass
 class Outcome:
-    """Everything an experiment produces."""
+    """Everything an experiment produces.
+
+    ``wide`` has the predictions of all models side by side; ``lost_rows`` counts the commits that
+    a joined source lacks.
+    """
 
     number: int
     features: list[str]
@@ -29,6 +33,8 @@ class Outcome:
     predictions: dict[str, DataFrame]
     importance: dict[str, DataFrame]
     comparison: DataFrame
+    wide: DataFrame
+    lost_rows: int
 
     def save(self, path: str) -> None:
         """Models, predictions, metrics, importance and reports below one folder."""
@@ -36,6 +42,7 @@ class Outcome:
             models.save_model(model, f"{path}/models/{name}")
             self.predictions[name].write.mode("overwrite").option("header", True).csv(f"{path}/predictions/{name}")
             write_report(self.importance[name], f"{path}/metrics/{name}_importance")
+        self.wide.write.mode("overwrite").option("header", True).csv(f"{path}/predictions/all")
         write_report(self.comparison, f"{path}/metrics/comparison")
         write_report(self.split, f"{path}/metrics/split")
         write_report(self.cleaning, f"{path}/metrics/cleaning")
@@ -48,7 +55,7 @@ def run_experiment(
     *,
     first_year: int = FIRST_YEAR,
     last_year: int = LAST_YEAR,
-    target_rows: int = SAMPLE_ROWS,
+    target_rows: int | None = SAMPLE_ROWS,
     groups: Sequence[str] = ("project", "buggy"),
     fraction: float = TRAIN_FRACTION,
     seed: int = SEED,
@@ -59,7 +66,9 @@ def run_experiment(
 
     ``commits`` has commit_id, project, author_date, buggy. ``sources`` maps "metrics",
     "vectors" and "reasoning" to (table keyed by commit_id, feature columns); a None table means
-    that the columns are in ``commits``. Only the sampled commits take part in the joins.
+    that the columns are in ``commits``. All commits of the years are split by time; models are
+    fitted on a stratified sample of at most ``target_rows`` of the train side (None: all of it) and
+    scored on the whole test side. Only those commits take part in the joins.
     """
     if number not in EXPERIMENTS:
         raise ChangeRiskError(f"experiment {number} is not defined")
@@ -72,16 +81,18 @@ def run_experiment(
 
     base = commits.select(*dict.fromkeys(["commit_id", "project", "author_date", "buggy", *own]))
     cleaned, cleaning_report = clean.clean_commits(base, own)
-    sample = sampling.stratified_subset(
-        cleaned, first=first_year, last=last_year, groups=groups, target_rows=target_rows, seed=seed
-    )
+    known = freeze(sampling.filter_years(cleaned, "author_date", first_year, last_year))
+    train_side, test_side = split.temporal_split(known, fraction=fraction)
+    if target_rows is not None and train_side.count() > target_rows:
+        train_side = sampling.stratified_sample(train_side, "commit_id", groups, target_rows, seed)
+    sides = freeze(train_side.withColumn("side", F.lit("train")).unionByName(test_side.withColumn("side", F.lit("test"))))
     tables = [sources[name][0].select("commit_id", *sources[name][1]) for name in wanted if sources[name][0] is not None]
-    fused = freeze(fusion.fuse_features([sample, *tables]))
-    train_rows, test_rows = split.temporal_split(fused, fraction=fraction)
-    is_train = split.chronological_train(fused, "author_date", "commit_id", fraction)
-    split_rows = split.split_report(split.with_side(fused, is_train), fraction=fraction)
-
-    sizes = _vector_sizes(fused, features)
+    joined = freeze(fusion.fuse_features([sides, *tables]))
+    lost_rows = sides.count() - joined.count()
+    sizes = _vector_sizes(joined, features)
+    fused = freeze(_imputed(joined, features, sizes))
+    train_rows, test_rows = fused.filter("side = 'train'"), fused.filter("side = 'test'")
+    split_rows = split.split_report(fused, fraction=fraction)
     names = models.feature_names(fused, features, sizes)
     positive_weight = models.scale_pos_weight(train_rows)
     use_weight = weighted if weighted is not None else "metrics" in wanted
@@ -101,10 +112,31 @@ def run_experiment(
         scored[name] = freeze(models.predictions(model, test_rows, features, keep))
         importance[name] = models.feature_importance(model, names, commits.sparkSession)
     return Outcome(
-        number, names, cleaning_report, split_rows, positive_weight, fitted, scored, importance, models.model_comparison(scored)
+        number,
+        names,
+        cleaning_report,
+        split_rows,
+        positive_weight,
+        fitted,
+        scored,
+        importance,
+        models.model_comparison(scored),
+        models.wide_predictions(scored, keep),
+        lost_rows,
     )
 
 
+def _imputed(fused: DataFrame, features: Sequence[str], sizes: Mapping[str, int]) -> DataFrame:
+    """No nulls: numbers get the medians of the train side, vectors become zeros."""
+    numbers = [name for name in features if name not in sizes]
+    values, _ = clean.fill_values(fused.filter("side = 'train'"), numbers)
+    open_columns = {name: 0 for name in numbers if name not in values}
+    filled = clean.apply_fill(fused, {**open_columns, **values})
+    for name, size in sizes.items():
+        filled = filled.withColumn(name, F.coalesce(F.col(name), F.array_repeat(F.lit(0.0), size).cast(fused.schema[name].dataType)))
+    return filled
+
+
 def _vector_sizes(df: DataFrame, features: Sequence[str]) -> dict[str, int]:
     arrays = [f for f in features if isinstance(df.schema[f].dataType, T.ArrayType)]
     if not arrays:

@@ -26,9 +26,7 @@ def commit_schema(raw_dates: bool = False) -> T.StructType:
     return T.StructType([T.StructField(name, kind(name)) for name in COMMIT_COLUMNS])
 
 
-COMMITS = "project string, commit_id string, author_name string, author_email string, author_date timestamp, message string"
 FILE_CHANGES = (
     "project string, commit_id string, ordinal int, old_path string, new_path string, "
     "added_lines bigint, deleted_lines bigint, patch string, source_code string"
 )
-BLAME_LINES = "fix_commit_id string, file_path string, file_ordinal int, line string"

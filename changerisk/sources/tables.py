@@ -37,7 +37,8 @@ def parse_dates(df: DataFrame, columns: Sequence[str] = ("author_date",)) -> Dat
         if name in df.columns and not isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType))
     ]
     if pending:
-        numbers = {name: F.expr(f"try_cast(`{name}` AS double)") for name in pending}
+        casts = {name: F.expr(f"try_cast(`{name}` AS double)") for name in pending}
+        numbers = {name: F.when(F.abs(x) < float("inf"), x) for name, x in casts.items()}  # no NaN, no infinity
         facts = df.agg(
             F.count("*").alias("rows"),
             *[F.count(number).alias(f"n_{name}") for name, number in numbers.items()],
@@ -70,8 +71,10 @@ def load_commits(
 ) -> DataFrame:
     """Read a commit table, check its columns and parse its dates.
 
-    Text formats need a ``schema`` (or are read as strings by header name). ``rename`` derives
-    columns from others before the check; ``rows`` keeps only that many rows.
+    Parquet is the format to keep tables in. CSV cells hold line breaks, so a CSV file is read by
+    one task: give many files. Text formats need a ``schema`` (or are read as strings by header
+    name). ``rename`` derives columns from others before the check; ``rows`` keeps only that many
+    rows, whichever are read first, for a look at a table.
     """
     reader = spark.read.format(source_format)
     if schema is not None:

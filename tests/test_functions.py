@@ -49,8 +49,9 @@ def test_blame_lines(spark):
 def test_candidates_keep_first_21_relevant_files(spark):
     rows = [("f", i, f"s{i:02d}.py" if i % 2 else f"s{i:02d}.txt") for i in range(60)] + [("g", 1, "x.py")]
     df = spark.createDataFrame(rows, "fix_commit_id string, file_ordinal int, file_path string")
-    kept = labels.szz_candidates(df, (".py",)).filter("fix_commit_id = 'f'").collect()
+    kept = labels.szz_candidates(df, (".py",), 21).filter("fix_commit_id = 'f'").collect()
     assert sorted(r["file_ordinal"] for r in kept) == list(range(1, 42, 2))
+    assert labels.szz_candidates(df, (".py",)).count() == 31
 
 
 def test_vectors(spark):

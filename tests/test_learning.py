@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from changerisk.errors import ChangeRiskError
 from changerisk.operators import embedding, fusion, metrics, models, pca, vectors
 from changerisk.plans.experiment import run_experiment
+from changerisk.runtime import remove_path
 from changerisk.streaming import incremental
 
 # tn, fp, fn, tp and the published scores of four models.
@@ -141,13 +142,26 @@ def test_experiment_learns_and_saves(spark, tmp_path):
     comparison = {r["model"]: r for r in outcome.comparison.collect()}
     assert set(comparison) == {"random_forest", "boosted_trees"} and comparison["random_forest"]["roc_auc"] > 0.95
     joined = outcome.predictions["random_forest"].join(commits, "commit_id")
-    assert joined.filter("y_true <> buggy").count() == 0 and joined.count() == 60
+    assert joined.filter("y_true <> buggy").count() == 0 and joined.count() == 80
     outcome.save(str(tmp_path / "out"))
     assert models.load_model(str(tmp_path / "out/models/boosted_trees")).getNumTrees == 2
+    wide = outcome.wide.join(outcome.predictions["boosted_trees"], "commit_id")
+    assert wide.count() == 80 and wide.filter("boosted_trees_score <> y_score or boosted_trees_pred <> y_pred").count() == 0
     with pytest.raises(ChangeRiskError):
         run_experiment(3, commits, sources)
 
 
+def test_experiment_fills_joined_sources_and_counts_lost_rows(spark):
+    rows = [(f"c{i:03d}", "p", dt.datetime(2019, 1, 1) + dt.timedelta(hours=i), i % 2) for i in range(100)]
+    commits = spark.createDataFrame(rows, "commit_id string, project string, author_date timestamp, buggy int")
+    facts = [(f"c{i:03d}", None if i % 5 == 0 else float(i % 2), None if i % 7 == 0 else [float(i % 2), 1.0]) for i in range(95)]
+    table = spark.createDataFrame(facts, "commit_id string, la double, embedding array<double>")
+    sources = {"metrics": (table.drop("embedding"), ["la"]), "vectors": (table.drop("la"), ["embedding"])}
+    params = {"random_forest": {"num_trees": 5, "max_depth": 4}, "boosted_trees": {"rounds": 2, "max_depth": 2}}
+    outcome = run_experiment(4, commits, sources, params=params)
+    assert outcome.lost_rows == 5 and outcome.wide.count() == 15
+
+
 def test_incremental_append_resumes(spark, tmp_path):
     source, output, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
     spark.range(0, 10).union(spark.range(5, 10)).withColumnRenamed("id", "commit_id").write.parquet(source)
@@ -161,3 +175,32 @@ def test_incremental_append_resumes(spark, tmp_path):
     spark.range(8, 14).withColumnRenamed("id", "commit_id").write.mode("append").parquet(source)
     assert run(progress) == list(range(14))
     assert run(progress) == list(range(14))
+    spark.range(20, 22).withColumnRenamed("id", "commit_id").write.mode("append").parquet(source)
+    assert run(str(tmp_path / "other")) == [*range(14), 20, 21]  # a new checkpoint reads all again and loses nothing
+    spark.range(30, 31).withColumnRenamed("id", "commit_id").write.mode("append").parquet(source)
+    assert run(progress) == [*range(14), 20, 21, 30]
+
+
+def test_incremental_append_ignores_progress_without_output(spark, tmp_path):
+    source, output, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
+    spark.range(5).withColumnRenamed("id", "commit_id").write.parquet(source)
+    schema = spark.read.parquet(source).schema
+
+    def run(**options):
+        incremental.incremental_extract(incremental.file_stream(spark, source, schema), output, progress, **options)
+        return sorted(r["commit_id"] for r in spark.read.parquet(output).collect())
+
+    assert run() == list(range(5))
+    remove_path(spark, output)
+    assert run() == list(range(5))
+    spark.createDataFrame([(99,)], "commit_id bigint").write.mode("overwrite").parquet(source)
+    assert run() == [*range(5), 99]
+    assert run(overwrite=True) == [99]
+
+
+def test_incremental_append_chooses_one_row_per_key(spark, tmp_path):
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, 3, "c"), (1, 1, None), (1, 1, "a"), (2, 5, "x")], "commit_id bigint, n int, t string").write.parquet(source)
+    stream = incremental.file_stream(spark, source, spark.read.parquet(source).schema)
+    incremental.incremental_extract(stream, output, str(tmp_path / "p"), order_by=["n"])
+    assert {tuple(r) for r in spark.read.parquet(output).select("commit_id", "n", "t").collect()} == {(1, 1, "a"), (2, 5, "x")}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from changerisk.errors import ChangeRiskError, EmptyInputError, MissingColumnsError, SchemaMismatchError
 from changerisk.operators import clean, joins, ordering, profile, sampling, selection, split
+from changerisk.operators.history import commit_time
 from changerisk.sources import sinks, tables
 
 
@@ -44,13 +45,68 @@ def test_quantile_of_nothing(spark):
 
 
 @pytest.mark.parametrize("k", [0, 1, 4, 5, 6, 9, 10, 12])
-def test_first_rows_with_ties_and_nulls(spark, k, monkeypatch):
+def test_first_rows_with_ties_and_nulls(spark, k):
     df = numbers(spark, [7, 3, 3, 3, 3, None, 1, None, 9, 3, 2, 8], "bigint")
     rows = sorted(df.collect(), key=lambda r: (r["v"] is None, r["v"] or 0, r["k"]))
-    for limit in (1_000_000, 1):
-        monkeypatch.setattr(selection, "_SORT_ROWS", limit)
-        kept = df.filter(selection.first_rows(df, F.col("v"), ["k"], k)).collect()
-        assert sorted(r["k"] for r in kept) == sorted(r["k"] for r in rows[:k])
+    kept = df.filter(selection.first_rows(df, F.col("v"), ["k"], k)).collect()
+    assert sorted(r["k"] for r in kept) == sorted(r["k"] for r in rows[:k])
+
+
+@pytest.mark.parametrize("start", [2**60, -(2**63), 2**63 - 3001])
+def test_first_rows_of_large_keys(spark, start):
+    df = spark.range(start, start + 3000).withColumnRenamed("id", "k")
+    assert sampling.head_sample(df, "k", 1500).agg(F.count("*"), F.max("k")).first() == (1500, start + 1499)
+    ends = spark.createDataFrame([(-(2**63), 1), (0, 2), (2**63 - 1, 3)], "v bigint, k int")
+    assert ends.filter(selection.first_rows(ends, F.col("v"), ["k"], 2)).count() == 2
+
+
+def test_zoom_reads_small_bins_and_narrows_large_ones(spark, monkeypatch):
+    values = [float(v) for v in np.random.default_rng(1).lognormal(3, 4, 500)] + [5.0] * 50
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for few in (0, 10, 65_536):
+        monkeypatch.setattr(selection, "_READ_ROWS", few)
+        assert selection.quantiles(df, {"v": F.col("v")}, 0.5)["v"] == pytest.approx(float(np.median(values)))
+
+
+def test_known_values_win_over_missing_ones(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 9), ("b", None, 1), ("b", 4, 2)], "id string, buggy int, x int")
+    assert {tuple(r) for r in clean.dedupe_by_key(df.select("id", "x"), "id").collect()} == {("a", 5), ("b", 1)}
+    copies = spark.createDataFrame([("a", None, 1), ("a", 1, 2)], "commit_id string, buggy int, x int")
+    cleaned, report = clean.clean_commits(copies, ["x"])
+    assert [tuple(r) for r in cleaned.collect()] == [("a", 1, 2)] and report.first()["missing_after"] == {"x": 0}
+
+
+def test_missing_after_is_counted(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", 0, 1.0)], "commit_id string, buggy int, x double")
+    _, report = clean.clean_commits(df, ["x"], explicit={"x": float("nan")})
+    assert report.first()["missing_after"] == {"x": 1}
+
+
+def test_dates_with_nan_texts(spark):
+    df = spark.createDataFrame([("NaN",), ("2020-01-01",), ("2021-01-01",), ("inf",)], "author_date string")
+    years = [r[0] for r in tables.parse_dates(df).select(F.year("author_date")).collect()]
+    assert years == [None, 2020, 2021, None]
+    numbers = spark.createDataFrame([("NaN",), ("86400",)], "author_date string")
+    assert [r[0] for r in tables.parse_dates(numbers).select(F.unix_seconds("author_date")).collect()] == [None, 86400]
+
+
+def test_years_are_utc_in_any_session(spark):
+    df = spark.sql("SELECT timestamp_seconds(1577840400) AS author_date")  # 2020-01-01T01:00Z
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert commit_time(df).first()["year"] == 2020
+        assert sampling.filter_years(df, first=2020, last=2020).count() == 1
+        assert sampling.filter_years(df, first=2019, last=2019).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_select_features(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, buggy int")
+    assert clean.select_features(df, ["b"], keep=["a"]).columns == ["a", "b", "buggy"]
+    with pytest.raises(MissingColumnsError):
+        clean.select_features(df, ["c"])
 
 
 def test_dedupe(spark):
@@ -128,6 +184,8 @@ def test_subset_sizes(spark):
     assert sampling.random_subset(df, "k", 2000).count() == 2000
     assert sampling.random_subset(df, "k", 9999).count() == 3000
     assert [r["k"] for r in sampling.head_sample(df, "k", 1500).agg(F.max("k").alias("k")).collect()] == [1499]
+    words = df.select(F.format_string("%05d", "k").alias("k"))
+    assert sampling.head_sample(words, "k", 1200).agg(F.count("*"), F.max("k")).first() == (1200, "01199")
     assert sorted(r["k"] for r in sampling.skip_tail(df, "k").collect()) == list(range(1895, 1900))
 
 
@@ -137,6 +195,8 @@ def test_joins(spark):
     assert joins.semi_commits(a, listed).count() == 1
     assert joins.pending_rows(a, listed).count() == 1
     assert joins.duplicate_rows(a.union(a).union(a)).first()[0] == 6
+    times = spark.sql("SELECT timestamp_micros(1) AS t, null AS x UNION ALL SELECT timestamp_micros(2), null")
+    assert joins.duplicate_rows(times).first()[0] == 0
     assert joins.union_datasets(a, a).count() == 6
     with pytest.raises(SchemaMismatchError):
         joins.union_datasets(a, a.select("commit_id", "project"))
