@@ -22,13 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changerisk.llm.html_lines import ARTICLE, UNDECIDED, lines_of
+from changerisk.llm.html_lines import ARTICLE, BOILERPLATE, lines_of
 from changerisk.operators.ordering import with_position
-from changerisk.runtime import scratch_path
 
 #: Share of the undecided characters of a page from which its partner is a copy.
 COPY = 0.8
@@ -85,23 +86,60 @@ def _shared(own: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([common_lines(a, empty if b is None else b) for a, b in zip(own, other)])
 
 
+def _read_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, url, hashes``: a hash of each line of a page."""
+    for batch in batches:
+        hashes = [[xxhash.xxh64_intdigest(text) - (1 << 63) for text, _ in lines_of(page.as_py())] for page in batch.column("html")]
+        columns = [batch.column("key"), batch.column("url"), pa.array(hashes, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "url", "hashes"])
+
+
 def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, page_id, url, marks, packed``: a byte for each line, and the compressed lines that are no boilerplate."""
+    pack = zstandard.ZstdCompressor().compress
     for batch in batches:
-        texts, marks = [], []
+        marks, packed = [], []
         for page in batch.column("html"):
             lines = lines_of(page.as_py())
-            texts.append([text for text, _ in lines])
-            marks.append([mark for _, mark in lines])
-        columns = {n: batch.column(n) for n in ("row", "page_id", "url")}
-        columns |= {"lines": pa.array(texts, pa.list_(pa.string())), "marks": pa.array(marks, pa.list_(pa.int32()))}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            marks.append(bytes(mark for _, mark in lines))
+            packed.append(pack("\n".join(text for text, mark in lines if mark != BOILERPLATE).encode("utf-8", "replace")))
+        columns = [batch.column(n) for n in ("key", "page_id", "url")] + [pa.array(marks, pa.binary()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "page_id", "url", "marks", "packed"])
+
+
+def main_text(marks: bytes, lines: list[str], shared: set[int]) -> str:
+    """Text of a page from the marks of all its lines, its lines that are no boilerplate, and the
+    places of the lines that its partner shares.
+    """
+    places = [i for i, mark in enumerate(marks) if mark != BOILERPLATE]
+    article = [line for i, line in zip(places, lines) if marks[i] == ARTICLE]
+    if article:
+        return "\n".join(article)
+    own = [line for i, line in zip(places, lines) if i not in shared]
+    if sum(map(len, own)) <= (1 - COPY) * sum(map(len, lines)):
+        return "\n".join(lines)
+    return "\n".join(own)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts, sizes, common = [], [], []
+        for marks, packed, shared in zip(*(batch.column(n) for n in ("marks", "packed", "shared"))):
+            marks, text, shared = marks.as_py(), unpack(packed.as_py()).decode(), shared.as_py() or []
+            lines = text.split("\n") if text else []
+            texts.append(main_text(marks, lines, set(shared)))
+            sizes.append(len(marks))
+            common.append(len(shared))
+        columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(common, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_lines", "n_shared"])
 
 
 def partners(lines: DataFrame) -> DataFrame:
-    """``row, other``: each page's line hashes aligned with its nearest neighbour's, or null."""
-    hashes = F.transform("lines", lambda line: F.xxhash64(line))
-    rows = lines.select("row", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), hashes.alias("hashes"))
-    placed, _ = with_position(rows, [F.col("host"), F.col("path"), F.col("row")])
+    """``key, hashes, other``: each page's line hashes and those of its nearest neighbour, or null."""
+    url = F.coalesce("url", F.lit(""))
+    rows = lines.select("key", url_host(url).alias("host"), url_path(url).alias("path"), "hashes")
+    placed, _ = with_position(rows, [F.col("host"), F.col("path"), F.col("key")])
     block = F.expr(f"pos div {_BLOCK}")
     around = F.array(block, F.expr(f"(pos - 1) div {_BLOCK}"), F.expr(f"(pos + 1) div {_BLOCK}"))
     spread = placed.withColumn("own", block).withColumn("block", F.explode(F.array_distinct(around)))
@@ -121,7 +159,7 @@ def partners(lines: DataFrame) -> DataFrame:
     nearest = F.when((F.col("b") < 0) & (F.col("a") < 0), None).when(F.col("b") >= F.col("a"), F.col("before.hashes")).otherwise(
         F.col("after.hashes")
     )
-    return sides.select("row", "hashes", nearest.alias("other"))
+    return sides.select("key", "hashes", nearest.alias("other"))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -131,35 +169,15 @@ def page_texts(pages: DataFrame) -> DataFrame:
     unusual URL has an empty host, and is paired within that. Rows that repeat an id have their own
     results. ``n_lines`` counts all lines, ``n_shared`` those on the common subsequence.
     """
-    spark = pages.sparkSession
-    path = scratch_path(spark, "page-lines")
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col("page_id").cast("bigint").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
-    )
-    schema = "row bigint, page_id bigint, url string, lines array<string>, marks array<int>"
-    rows.mapInArrow(_read_lines, schema).write.parquet(path)
-    lines = spark.read.parquet(path)
-    shared = partners(lines.select("row", "url", "lines")).select("row", _shared("hashes", "other").alias("shared"))
-
-    joined = lines.join(shared, "row")
-    pick = lambda test: F.filter("lines", test)
-    mark = lambda i: F.get("marks", i)
-    article = pick(lambda line, i: mark(i) == ARTICLE)
-    undecided = pick(lambda line, i: mark(i) == UNDECIDED)
-    own = pick(lambda line, i: (mark(i) == UNDECIDED) & ~F.array_contains("shared", i))
-    joined = joined.withColumns({"article": article, "undecided": undecided, "own": own})
-    size = lambda name: F.length(F.array_join(name, ""))
-    copied = size("own") <= (1 - COPY) * size("undecided")
-    kept = F.when(F.size("article") > 0, F.col("article")).when(copied, F.col("undecided")).otherwise(F.col("own"))
-    text = F.array_join(kept, "\n")
-    return joined.withColumn("text", text).select(
-        "page_id",
-        "url",
-        "text",
-        F.length("text").cast("bigint").alias("n_chars"),
-        F.size("lines").alias("n_lines"),
-        F.size("shared").alias("n_shared"),
-    )
+    ).withColumn("key", F.xxhash64("page_id", "url", "html"))
+    # Hashes first and texts later: pages are read twice, so that texts are shuffled once, compressed.
+    hashed = rows.mapInArrow(_read_hashes, "key bigint, url string, hashes array<bigint>").dropDuplicates(["key"])
+    shared = partners(hashed).select("key", _shared("hashes", "other").alias("shared"))
+    lines = rows.mapInArrow(_read_lines, "key bigint, page_id bigint, url string, marks binary, packed binary")
+    schema = "page_id bigint, url string, text string, n_lines int, n_shared int"
+    texts = lines.join(shared, "key").mapInArrow(_assemble, schema)
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared")
