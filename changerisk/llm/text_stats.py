@@ -59,4 +59,6 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "stats") ->
         "line_words": _share(count, F.size(F.split("_raw", "\n"))),
     }
     stats = F.struct(*[found[n].cast("double").alias(n) for n in STATISTICS])
-    return staged.withColumn(name, stats).drop("_raw", "_words")
+    # A generator is not merged with what reads it, so each statistic is computed once, however many
+    # rules and filters name it.
+    return staged.withColumn(name, F.explode(F.array(stats))).drop("_raw", "_words")
