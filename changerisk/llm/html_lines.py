@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Marks of a line.
 BOILERPLATE, UNDECIDED, ARTICLE = 0, 1, 2
@@ -16,13 +17,13 @@ BOILERPLATE, UNDECIDED, ARTICLE = 0, 1, 2
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][A-Za-z0-9:-]*)(?P<rest2>[^>]*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][A-Za-z0-9:-]*)(?P<rest2>[^<>]*+)>"
     r"|<[!?/][^>]*+>?"
     r"|(?P<text>[^<]++|<)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_NAME = re.compile(r"[a-z]+|[0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: Elements that start and end a line.
 _BLOCKS = frozenset(
@@ -52,12 +53,14 @@ _CLOSED_BY = {
 }
 #: Words of class names and ids, and roles, that mark boilerplate.
 _HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent "
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
     "cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice "
     "notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related "
     "replies reply respond share sharing sidebar signin signup skip social sponsor sponsored subscribe taboola toolbar "
     "widget".split()
 )
+#: Words that mark boilerplate outside an article; inside they name the head of the article itself.
+_OUTSIDE = frozenset("header topbar".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 
@@ -65,12 +68,13 @@ def _kind(tag: str, rest: str, inside_article: bool) -> int:
     """What an element makes of the text in it; undecided if nothing speaks for either."""
     if tag in _NEVER or (tag == "header" and not inside_article):
         return BOILERPLATE
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(rest)} if "=" in rest else {}
-    if tag not in ("html", "body") and (
-        found.get("role") in _ROLES or not _HINTS.isdisjoint(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-    ):
-        return BOILERPLATE
-    if tag in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody":
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if "=" in rest else {}
+    role = found.get("role", "").lower()
+    if found and tag not in ("html", "body"):
+        names = {name.lower() for name in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        if role in _ROLES or names & _HINTS or (names & _OUTSIDE and not inside_article):
+            return BOILERPLATE
+    if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
         return ARTICLE
     return UNDECIDED
 
@@ -80,6 +84,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     buffer: list[str] = []
     open_elements: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     state = UNDECIDED
     page = page or ""
 
@@ -92,6 +97,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
 
     def close(at: int) -> int:
         """Close elements from position ``at``; returns what then holds."""
+        opened.subtract(tag for tag, _ in open_elements[at:])
         del open_elements[at:]
         return open_elements[-1][1] if open_elements else UNDECIDED
 
@@ -108,12 +114,10 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             continue
         tag = tag.lower()
         if match["end"] or match["end2"]:
-            at = next((i for i in range(len(open_elements) - 1, -1, -1) if open_elements[i][0] == tag), None)
-            if tag in _BLOCKS:
-                flush()
-            if at is not None:
+            if tag in _BLOCKS or opened[tag]:
                 flush()
-                state = close(at)
+            if opened[tag]:
+                state = close(next(i for i in range(len(open_elements) - 1, -1, -1) if open_elements[i][0] == tag))
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, position)
@@ -138,5 +142,6 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                     flush()
                 state = state if state == BOILERPLATE or kind == UNDECIDED else kind
                 open_elements.append((tag, state))
+                opened[tag] += 1
     flush()
     return lines

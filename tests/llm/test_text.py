@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -30,6 +31,13 @@ def test_article_lines():
     assert {t for t, m in lines if m == BOILERPLATE} >= {"T", "Site", "Home", "We use cookies", "Side", "Buy", "Name", "nice!", "© me"}
 
 
+def test_names_of_classes_and_roles():
+    page = """<body><div class="siteHeader">Top</div><div class="cookieBanner">C</div><div role="main"><div class="entry-header">Title</div>
+    <p class="byline">By me<p id="readerComments">nice<p class="shadow adapter">Kept<p class="ad">buy</div><div class="other">Rest</div>"""
+    assert [t for t, m in lines_of(page) if m == ARTICLE] == ["Title", "By me", "Kept"]
+    assert [t for t, m in lines_of(page) if m == UNDECIDED] == ["Rest"]
+
+
 @pytest.mark.parametrize(
     "page", [None, "", "<", "<p", "<!--", "<script>x", "a<b", "</p></div>", "<div" * 50, "&#xD800; &am &amp", "<p title='x>y<p>z", "\x00"]
 )
@@ -37,6 +45,13 @@ def test_broken_pages_give_lines(page):
     assert all(mark in (BOILERPLATE, UNDECIDED, ARTICLE) and text for text, mark in lines_of(page))
 
 
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<div></p>", "<a '", '<p "x"', "<script>", "<!--", "&amp", "</", "<td><p>", "<a b='>"])
+def test_long_broken_pages_take_no_more_than_their_length(part):
+    start = time.perf_counter()
+    lines_of(part * 100_000)
+    assert time.perf_counter() - start < 10
+
+
 def brute_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(len(a)), range(len(b))):
