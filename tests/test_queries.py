@@ -2,6 +2,7 @@
 
 import math
 import os
+import sys
 
 import duckdb
 import pytest
@@ -9,7 +10,6 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"experiment", "experiment_fused", "train_boosted_trees", "train_lightgbm", "model_factory", "model_comparison"}
 
 
 def cell(value):
@@ -42,10 +42,17 @@ def test_query_equals_sql(spark, duck, name):
     assert table(df.columns, df.collect()) == table(columns, answer.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_query_gives_rows(spark, name):
     assert queries()[name](spark, FOLDER).count() > 0
 
 
+def test_queries_without_the_text_folder(monkeypatch):
+    for name in [n for n in sys.modules if n.startswith(("corpus_pipeline", "changerisk.llm"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # as if it were not there
+    assert "split_report" in queries() and "pipeline" not in queries() and "op5_exact_dedup" not in oracle_sql()
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
