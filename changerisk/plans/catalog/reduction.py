@@ -179,7 +179,8 @@ def token_lengths(embedded):
     """Word counts by token, regained from vectors of length one, and that length."""
     words = F.size(F.filter(F.split("letters", r"\s+"), lambda word: word != ""))
     scale = words / fold(F.col("embedding"), lambda x: x)
-    counts = F.filter(F.transform("embedding", lambda x: F.round(x * scale).cast("bigint")), lambda n: n > 0)
+    embedded = embedded.withColumn("scale", F.explode(F.array(scale)))  # a generator: computed once a row
+    counts = F.filter(F.transform("embedding", lambda x: F.round(x * F.col("scale")).cast("bigint")), lambda n: n > 0)
     return embedded.select(
         "doc_id",
         F.size("embedding").alias("size"),
