@@ -1,11 +1,14 @@
 """Exact and near duplicates against brute force."""
 
 import hashlib
+import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import xxhash
 
-from changerisk.llm import exact_dedup, simhash
+from changerisk.llm import exact_dedup, near_copies, simhash
 from changerisk.llm.components import components
 from changerisk.llm.exact_dedup import duplicate_groups
 from changerisk.llm.simhash import fingerprint_of, links, near_duplicate_groups
@@ -130,3 +133,79 @@ def test_components_of_odd_links(spark):
 
 def test_empty_tables(none):
     assert duplicate_groups(none).collect() == [] and near_duplicate_groups(none).collect() == []
+
+
+def brute_near_copies(rows):
+    """Smallest id of each row's component, links being Jaccard similarities of 0.8 or more."""
+    sets = {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[i] = {b" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    roots = {i: i for i in sets}
+
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                a_root, b_root = sorted((find(a), find(b)))
+                roots[b_root] = a_root
+    return {i: find(i) for i in sets}
+
+
+def edited(dice, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[dice.randrange(len(words))] = f"new{dice.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_of_families_and_crowds(spark, monkeypatch):
+    dice = random.Random(8)
+    rows, word = [], lambda: f"w{dice.randrange(5000)}"
+    for _ in range(40):  # small families around the limit
+        base = [word() for _ in range(dice.randrange(60, 300))]
+        rows += [edited(dice, base, dice.randrange(1, 8)) for _ in range(4)]
+    base = [word() for _ in range(200)]
+    rows += [edited(dice, base, dice.randrange(1, 9)) for _ in range(90)]  # a crowd in several components
+    rows += [None, "", " \n", "one", "ONE", "one two", "a b c d e", "a b c d e f"]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = brute_near_copies(rows)
+    assert len({expected[i] for i in range(160, 250)}) > 1
+    for turns in (0, 3):
+        monkeypatch.setattr(near_copies, "TURNS", turns)
+        assert dict(map(tuple, copies_of(df))) == expected
+
+
+def copies_of(df):
+    return near_copies.near_copy_groups(df).collect()
+
+
+def test_near_copies_with_odd_rows(docs, none):
+    groups = near_copies.near_copy_groups(docs)
+    assert groups.count() == docs.count() and near_copies.near_copy_groups(none).collect() == []
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()}[11] == 10
+
+
+def test_stage_finds_all_similar_pairs_of_the_table(spark):
+    """Against all pairs that share a shingle: 48 of sf0.1 are similar."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for row in docs.collect():
+        sets.setdefault(near_copies.shingle_set(row["text"] or "").tobytes(), row["doc_id"])
+    sets = {i: np.frombuffer(x, "u8") for x, i in sets.items()}
+    hashes, owners = np.concatenate(list(sets.values())), np.repeat(list(sets), [len(x) for x in sets.values()])
+    order = np.argsort(hashes, kind="stable")
+    common = Counter()
+    for group in np.split(owners[order], np.flatnonzero(np.diff(hashes[order])) + 1):
+        if len(group) > 1:
+            common.update(itertools.combinations(sorted(group.tolist()), 2))
+    pairs = [(a, b) for (a, b), n in common.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    root = dict(map(tuple, copies_of(docs)))
+    assert len(pairs) == 48 and all(root[a] == root[b] for a, b in pairs)
+    fingerprints = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(docs).collect()}
+    print("pairs joined by SimHash:", sum(fingerprints[a] == fingerprints[b] for a, b in pairs))
