@@ -13,6 +13,9 @@ from collections import Counter
 
 #: Marks of a line.
 BOILERPLATE, UNDECIDED, ARTICLE = 0, 1, 2
+#: States of a reader only. Names hint at boilerplate, by a word of them or as a whole; an article may
+#: still stand inside. An article in an element of the latter kind is spare: it counts if the page has no other.
+_HINTED, _NAMED, _SPARE = 3, 4, 5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -24,6 +27,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_CAMEL = re.compile(r"[a-z]+(?:[A-Z][a-z]*)+")
+#: Class names that say what an element has or lacks, not what it is.
+_STATE = re.compile(r"(?:has|no|not|with|without)[-_]", re.IGNORECASE)
 
 #: Elements that start and end a line.
 _BLOCKS = frozenset(
@@ -70,15 +76,34 @@ def _kind(tag: str, rest: str, inside_article: bool) -> int:
         return BOILERPLATE
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if "=" in rest else {}
     role = found.get("role", "").lower()
-    if found and tag not in ("html", "body"):
-        names = {name.lower() for name in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        if role in _ROLES or names & _HINTS or (names & _OUTSIDE and not inside_article):
-            return BOILERPLATE
     if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
         return ARTICLE
+    if found and tag not in ("html", "body"):
+        tokens, name = found.get("class", "").split(), found.get("id", "")
+        whole = {token.lower() for token in tokens} & _HINTS
+        if role in _ROLES:
+            return BOILERPLATE
+        if inside_article:
+            # Ids are often made from headings, but not those in camel case.
+            camel = _CAMEL.fullmatch(name) and {word.lower() for word in _NAME.findall(name)} & _HINTS
+            return BOILERPLATE if whole or camel else UNDECIDED
+        if whole or name.lower() in _HINTS:
+            return _NAMED
+        parts = [token for token in [*tokens, name] if not _STATE.match(token)]
+        if {word.lower() for word in _NAME.findall(" ".join(parts))} & (_HINTS | _OUTSIDE):
+            return _HINTED
     return UNDECIDED
 
 
+def _within(state: int, kind: int) -> int:
+    """What holds in an element of a kind that opens where ``state`` holds."""
+    if state == BOILERPLATE or kind == UNDECIDED:
+        return state
+    if kind == ARTICLE:
+        return _SPARE if state in (_NAMED, _SPARE) else ARTICLE
+    return _NAMED if state == _NAMED and kind == _HINTED else kind
+
+
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """Lines of a page in order, with their marks. White space is one space; empty lines are left out."""
     lines: list[tuple[str, int]] = []
@@ -136,12 +161,14 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         if tag in _VOID:
             continue
         if block or tag in _NEVER or "=" in (match["rest"] or match["rest2"] or ""):
-            kind = _kind(tag, match["rest"] or match["rest2"] or "", state == ARTICLE)
-            if block or kind == BOILERPLATE:
+            kind = _kind(tag, match["rest"] or match["rest2"] or "", state in (ARTICLE, _SPARE))
+            if block or kind not in (UNDECIDED, ARTICLE):
                 if not block:
                     flush()
-                state = state if state == BOILERPLATE or kind == UNDECIDED else kind
+                state = _within(state, kind)
                 open_elements.append((tag, state))
                 opened[tag] += 1
     flush()
-    return lines
+    spare = BOILERPLATE if any(mark == ARTICLE for _, mark in lines) else ARTICLE
+    marks = {_HINTED: BOILERPLATE, _NAMED: BOILERPLATE, _SPARE: spare}
+    return [(text, marks.get(mark, mark)) for text, mark in lines]

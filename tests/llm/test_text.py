@@ -38,6 +38,27 @@ def test_names_of_classes_and_roles():
     assert [t for t, m in lines_of(page) if m == UNDECIDED] == ["Rest"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post has-sidebar comments-open"><p>Text</article>',
+        '<main class="with-sidebar"><p>Text</main>',
+        '<div class="page no-sidebar"><article><p>Text</article></div>',
+        '<div class="sidebar"><div><article><p>Text</article>Side</div></div>',
+        '<div class="layout-sidebar"><article><p>Text</article>Side</div>',
+        '<div class="related"><article>Teaser</article></div><article>Text</article>',
+    ],
+)
+def test_names_do_not_void_articles(page):
+    assert [t for t, m in lines_of(page) if m == ARTICLE] == ["Text"]
+
+
+def test_ids_made_from_headings_stay():
+    page = """<article><section id="related-work"><p>One</section><h2 id="social-impact">Two</h2><h2 id="copyright-law">Three</h2>
+    <div class="share">f</div><div class="my-comments-on-it">Four</div></article>"""
+    assert [t for t, m in lines_of(page) if m == ARTICLE] == ["One", "Two", "Three", "Four"]
+
+
 @pytest.mark.parametrize(
     "page", [None, "", "<", "<p", "<!--", "<script>x", "a<b", "</p></div>", "<div" * 50, "&#xD800; &am &amp", "<p title='x>y<p>z", "\x00"]
 )
