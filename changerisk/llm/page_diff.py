@@ -8,8 +8,9 @@
 
 Markup is believed where it speaks. Of a page with an article element, that element is the text,
 and no line of it is deleted for being quoted elsewhere. Of a page without one, the undecided lines
-are the text, less those shared with the partner; a partner that shares nearly all of them
-(``COPY``) is a copy of the page, not a template, and deletes nothing.
+are the text, less those shared with the partner. A partner that shares nearly all of them
+(``COPY``) may be a copy of the page or have the same large template. Then only lines that stand on
+at least ``TEMPLATE`` different pages of the host are template; what the two alone share stays.
 
 Pairing never gathers a host: rows get a position in one global order, and windows run over
 fixed blocks of positions, each with the row before and after it. They carry line hashes only.
@@ -30,9 +31,12 @@ from pyspark.sql import types as T
 
 from changerisk.llm.html_lines import ARTICLE, BOILERPLATE, lines_of
 from changerisk.operators.ordering import with_position
+from changerisk.runtime import freeze
 
-#: Share of the undecided characters of a page from which its partner is a copy.
+#: Share of the undecided characters of a page from which its partner may be a copy.
 COPY = 0.8
+#: Different pages of a host that show a line of such a page to be template. Equal pages are one.
+TEMPLATE = 3
 
 #: Positions of one window.
 _BLOCK = 4_096
@@ -87,11 +91,13 @@ def _shared(own: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def _read_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, url, hashes``: a hash of each line of a page."""
+    """``key, url, hashes, bare``: a hash of each line of a page, and whether none is an article's."""
     for batch in batches:
-        hashes = [[xxhash.xxh64_intdigest(text) - (1 << 63) for text, _ in lines_of(page.as_py())] for page in batch.column("html")]
-        columns = [batch.column("key"), batch.column("url"), pa.array(hashes, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "url", "hashes"])
+        pages = [lines_of(page.as_py()) for page in batch.column("html")]
+        hashes = [[xxhash.xxh64_intdigest(text) - (1 << 63) for text, _ in lines] for lines in pages]
+        bare = [all(mark != ARTICLE for _, mark in lines) for lines in pages]
+        columns = [batch.column("key"), batch.column("url"), pa.array(hashes, pa.list_(pa.int64())), pa.array(bare, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "url", "hashes", "bare"])
 
 
 def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +113,9 @@ def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["key", "page_id", "url", "marks", "packed"])
 
 
-def main_text(marks: bytes, lines: list[str], shared: set[int]) -> str:
+def main_text(marks: bytes, lines: list[str], shared: set[int], template: set[int]) -> str:
     """Text of a page from the marks of all its lines, its lines that are no boilerplate, and the
-    places of the lines that its partner shares.
+    places of the lines that its partner shares and of those among them that more pages have.
     """
     places = [i for i, mark in enumerate(marks) if mark != BOILERPLATE]
     article = [line for i, line in zip(places, lines) if marks[i] == ARTICLE]
@@ -117,7 +123,7 @@ def main_text(marks: bytes, lines: list[str], shared: set[int]) -> str:
         return "\n".join(article)
     own = [line for i, line in zip(places, lines) if i not in shared]
     if sum(map(len, own)) <= (1 - COPY) * sum(map(len, lines)):
-        return "\n".join(lines)
+        own = [line for i, line in zip(places, lines) if i not in template]
     return "\n".join(own)
 
 
@@ -125,10 +131,10 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         texts, sizes, common = [], [], []
-        for marks, packed, shared in zip(*(batch.column(n) for n in ("marks", "packed", "shared"))):
+        for marks, packed, shared, template in zip(*(batch.column(n) for n in ("marks", "packed", "shared", "template"))):
             marks, text, shared = marks.as_py(), unpack(packed.as_py()).decode(), shared.as_py() or []
             lines = text.split("\n") if text else []
-            texts.append(main_text(marks, lines, set(shared)))
+            texts.append(main_text(marks, lines, set(shared), set(template.as_py() or [])))
             sizes.append(len(marks))
             common.append(len(shared))
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(common, pa.int32())]
@@ -162,6 +168,17 @@ def partners(lines: DataFrame) -> DataFrame:
     return sides.select("key", "hashes", nearest.alias("other"))
 
 
+def template_lines(hashed: DataFrame, shared: DataFrame) -> DataFrame:
+    """``key, template``: of pages without an article, the shared places whose lines are on ``TEMPLATE`` pages of the host."""
+    host = url_host(F.coalesce("url", F.lit("")))
+    asked = hashed.filter("bare").join(shared, "key").select("key", "url", "hashes", F.explode("shared").alias("place"))
+    asked = asked.select("key", "place", F.xxhash64(host, F.expr("hashes[place]")).alias("line"))
+    shown = hashed.select(host.alias("host"), F.xxhash64("hashes").alias("page"), F.explode(F.array_distinct("hashes")).alias("hash"))
+    shown = shown.select("page", F.xxhash64("host", "hash").alias("line")).join(asked.select("line"), "line", "left_semi")
+    often = shown.distinct().groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE)
+    return asked.join(often.select("line"), "line").groupBy("key").agg(F.collect_list("place").alias("template"))
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, n_lines, n_shared`` for every row of ``page_id, url, html``.
 
@@ -175,8 +192,10 @@ def page_texts(pages: DataFrame) -> DataFrame:
         F.col("html").cast("string").alias("html"),
     ).withColumn("key", F.xxhash64("page_id", "url", "html"))
     # Hashes first and texts later: pages are read twice, so that texts are shuffled once, compressed.
-    hashed = rows.mapInArrow(_read_hashes, "key bigint, url string, hashes array<bigint>").dropDuplicates(["key"])
-    shared = partners(hashed).select("key", _shared("hashes", "other").alias("shared"))
+    hashed = rows.mapInArrow(_read_hashes, "key bigint, url string, hashes array<bigint>, bare boolean").dropDuplicates(["key"])
+    hashed = freeze(hashed)
+    shared = freeze(partners(hashed).select("key", _shared("hashes", "other").alias("shared")))
+    shared = shared.join(template_lines(hashed, shared), "key", "left")
     lines = rows.mapInArrow(_read_lines, "key bigint, page_id bigint, url string, marks binary, packed binary")
     schema = "page_id bigint, url string, text string, n_lines int, n_shared int"
     texts = lines.join(shared, "key").mapInArrow(_assemble, schema)

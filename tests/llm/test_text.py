@@ -108,6 +108,18 @@ def test_differencing_decides_where_markup_does_not(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found.values())
 
 
+def test_a_large_template_is_no_copy(spark):
+    frame = "<body><div>Menu one</div><div>Menu two</div>{}<div>Imprint</div>"
+    rows = [(i, f"http://a.org/news/{i}", frame.format(f"<p>Hi{i}</p>")) for i in range(4)]
+    rows += [(i, f"http://b.org/{i}", frame.format("<p>Copied three times</p>")) for i in (10, 11, 12)]
+    rows += [(i, f"http://c.org/{i // 2}/{i}", frame.format(f"<p>Copy {i // 2}</p>")) for i in range(20, 26)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    text = {r["page_id"]: r["text"] for r in page_texts(df).collect()}
+    assert [text[i] for i in range(4)] == [f"Hi{i}" for i in range(4)]
+    assert {text[i] for i in (10, 11, 12)} == {"Menu one\nMenu two\nCopied three times\nImprint"}
+    assert [text[i] for i in range(20, 26)] == [f"Copy {i // 2}" for i in range(20, 26)]
+
+
 def test_pages_of_an_empty_table(spark):
     assert page_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
