@@ -192,3 +192,9 @@ def token_lengths(embedded):
 @query("embed_text", _TOKENS)
 def embed_text(t):
     return token_lengths(embed(letter_texts(t.documents), "letters", size=LETTER_SIZE))
+
+
+# Which place of the vector a word falls on is the encoder's hash, so whole texts have no SQL.
+@query("embed_text_whole")
+def embed_text_whole(t):
+    return embed(t.documents, "text").select("doc_id", "embedding")

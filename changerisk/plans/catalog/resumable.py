@@ -51,3 +51,11 @@ def incremental_embed(t):
     for part in shares(t, letter_texts(t.documents), "doc_id"):
         incremental.incremental_embed(part, output, scratch_path(t.spark, "progress"), "doc_id", "letters", size=LETTER_SIZE)
     return token_lengths(t.spark.read.parquet(output))
+
+
+@query("incremental_embed_whole")
+def incremental_embed_whole(t):
+    output = scratch_path(t.spark, "embedded")
+    for part in shares(t, t.documents, "doc_id"):
+        incremental.incremental_embed(part, output, scratch_path(t.spark, "progress"), "doc_id", "text")
+    return t.spark.read.parquet(output).select("doc_id", "embedding")

@@ -2,11 +2,14 @@
 
 import datetime as dt
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from changerisk.errors import ChangeRiskError
 from changerisk.operators import embedding, fusion, metrics, models, pca, vectors
 from changerisk.plans.experiment import run_experiment
@@ -204,3 +207,23 @@ def test_incremental_append_chooses_one_row_per_key(spark, tmp_path):
     stream = incremental.file_stream(spark, source, spark.read.parquet(source).schema)
     incremental.incremental_extract(stream, output, str(tmp_path / "p"), order_by=["n"])
     assert {tuple(r) for r in spark.read.parquet(output).select("commit_id", "n", "t").collect()} == {(1, 1, "a"), (2, 5, "x")}
+
+
+@pytest.mark.parametrize("name", ["embed_text_whole", "incremental_embed_whole"])
+def test_whole_texts_are_embedded(spark, name):
+    from pyspark.ml.feature import HashingTF
+
+    folder = "/root/testdata/sf0.001"
+    found = {r["doc_id"]: r["embedding"] for r in queries()[name](spark, folder).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert set(found) == set(texts)
+    words = {key: Counter(filter(None, re.split(r"[ \t\n\x0b\f\r]+", text.lower()))) for key, text in texts.items()}
+    alone = spark.createDataFrame([([word],) for word in set().union(*words.values())], "word array<string>")
+    alone = HashingTF(inputCol="word", outputCol="place", numFeatures=768).transform(alone).collect()
+    place = {r["word"][0]: int(r["place"].indices[0]) for r in alone}
+    for key, counts in words.items():
+        expected = np.zeros(768)
+        for word, n in counts.items():
+            expected[place[word]] += n
+        length = np.linalg.norm(expected) or 1.0
+        assert np.asarray(found[key]) == pytest.approx(expected / length, abs=1e-6)
