@@ -7,6 +7,9 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
+
+from brute import brute_near_copies
 
 from changerisk.llm import exact_dedup, near_copies, simhash
 from changerisk.llm.components import components
@@ -135,27 +138,6 @@ def test_empty_tables(none):
     assert duplicate_groups(none).collect() == [] and near_duplicate_groups(none).collect() == []
 
 
-def brute_near_copies(rows):
-    """Smallest id of each row's component, links being Jaccard similarities of 0.8 or more."""
-    sets = {}
-    for i, text in rows:
-        words = (text or "").encode().lower().split()
-        sets[i] = {b" ".join(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
-    roots = {i: i for i in sets}
-
-    def find(x):
-        while roots[x] != x:
-            x = roots[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                a_root, b_root = sorted((find(a), find(b)))
-                roots[b_root] = a_root
-    return {i: find(i) for i in sets}
-
-
 def edited(dice, words, times):
     words = list(words)
     for _ in range(times):
@@ -176,11 +158,40 @@ def test_near_copies_of_families_and_crowds(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     expected = brute_near_copies(rows)
     assert len({expected[i] for i in range(160, 250)}) > 1
-    for turns in (0, 3):
+    for turns in (0, 2):
         monkeypatch.setattr(near_copies, "TURNS", turns)
         assert dict(map(tuple, copies_of(df))) == expected
 
 
+def test_crowd_of_unlike_texts_does_not_meet(spark):
+    """Texts that share a passage of two thirds: no pair is listed, however many they are."""
+    dice = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [[*passage, *(f"o{dice.randrange(10**9)}" for _ in range(30))] for _ in range(300)]
+    sets = [near_copies.shingle_set(" ".join(words)) for words in texts]
+    rows = [(i, x.tobytes()) for i, x in enumerate(sets)]
+    crowd = spark.createDataFrame(rows, "node bigint, hashes binary")
+    assert near_copies._sub_entries(crowd).count() == 0
+
+
+def test_crowd_of_near_copies_is_compared_with_hubs(spark):
+    """Candidate rows of a crowd grow with its members, and groups are those of all pairs."""
+    dice, made = random.Random(10), []
+    base = [f"w{dice.randrange(5000)}" for _ in range(150)]
+    for n in (100, 400):
+        texts = [edited(dice, base, dice.randrange(0, 3)) for _ in range(n)]
+        sets = [near_copies.shingle_set(t) for t in texts]
+        rows = {near_copies._node(x): x.tobytes() for x in sets}
+        crowd = spark.createDataFrame(list(rows.items()), "node bigint, hashes binary")
+        entries = near_copies._sub_entries(crowd)
+        pairs = near_copies._hub_pairs(entries.withColumn("root", F.col("node")), 0).count()
+        made.append((len(rows), pairs))
+        found = dict(map(tuple, copies_of(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))))
+        assert found == brute_near_copies(list(enumerate(texts)))
+    (few, small), (many, large) = made
+    assert large / small < 2 * many / few
+
+
 def copies_of(df):
     return near_copies.near_copy_groups(df).collect()
 
