@@ -5,7 +5,7 @@ pieces, joined, are the ids of the text: before a space between two characters t
 space, around a line end between such, and between a letter and a punctuation mark. Prose repeats
 its words, so a worker's memo answers most pieces and the library sees what is new. The memo is
 bounded: when full it keeps what it has, and starts afresh once it has missed four times as often
-as it holds pieces.
+as it holds pieces. A text that holds one of the tokenizer's added tokens goes to the library whole.
 """
 
 from __future__ import annotations
@@ -70,6 +70,7 @@ class PieceEncoder:
         self.tokenizer, self.kind, self.spaced = tokenizer, kind, spaced
         self.code = {"<u4": "I", "<u2": "H"}[kind]
         self.table = byte_characters()
+        self.added = [token.content.lower() for token in tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.missed = 0
 
@@ -109,7 +110,8 @@ class PieceEncoder:
         """Ids of a whole text."""
         if not text:
             return b""
-        if _JOINED in text:
+        low = text.lower() if self.added else ""
+        if _JOINED in text or any(token in low for token in self.added):
             return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
         pieces = self._cut(text)
         memo = self.memo

@@ -12,10 +12,13 @@ from changerisk.llm.byte_bpe import ByteBpe
 from changerisk.llm.chat import conversation_digests, format_conversations
 from changerisk.llm.common import read_table
 from changerisk.llm.exact_dedup import duplicate_groups
+from changerisk.llm.fill_middle import fill_in_middle, restore
 from changerisk.llm.licenses import license_report
 from changerisk.llm.hash_forest import HashForest
 from changerisk.llm.mixing import mixture
+from changerisk.llm.packing import pack_documents
 from changerisk.llm.page_diff import page_texts
+from changerisk.llm.prefix_trie import prefix_trie
 from changerisk.llm.rule_ensemble import fit_quality, held_out, score_quality
 from changerisk.llm.simhash import near_duplicate_groups
 from changerisk.llm.token_files import write_token_files
@@ -131,3 +134,72 @@ def hash_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Five nearest vectors of every vector whose id is divisible by 50."""
     forest = HashForest(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
     return forest.search(F.col("id") % 50 == 0)
+
+
+@query(
+    "op11_fill_middle",
+    r"""
+    WITH drawn AS (
+        SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+               sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+        FROM documents),
+    numbers AS (
+        SELECT *, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (n + 1) AS one,
+               CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (n + 1) AS two,
+               CAST('0x' || substr(digest, 17, 8) AS BIGINT) % 100 AS three,
+               CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 AS four
+        FROM drawn),
+    cut AS (
+        SELECT *, least(one, two) AS low, greatest(one, two) AS high,
+               CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                         OR three >= 90 THEN 'plain'
+                    WHEN four < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM numbers),
+    pieces AS (
+        SELECT *, substr(text, 1, low) AS prefix, substr(text, low + 1, high - low) AS middle,
+               substr(text, high + 1) AS suffix
+        FROM cut)
+    SELECT doc_id, n, form,
+           CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+           sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                            WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                            ELSE text END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM pieces""",
+)
+def fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text rebuilt from that."""
+    filled = fill_in_middle(read_table(spark, folder, "documents"), seed=1)
+    return filled.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restore().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_cost_packing")
+def cost_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4,096 tokens of balanced cost."""
+    pieces = pack_documents(
+        read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408
+    )
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("tokens").alias("doc_tokens"),
+        "sequence_id",
+        "offset",
+    )
+
+
+@query("op13_prefix_trie")
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with the totals of its subtree."""
+    return prefix_trie(read_table(spark, folder, "conversations")).drop("node")

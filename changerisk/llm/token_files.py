@@ -49,9 +49,7 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
 
 @lru_cache(maxsize=2)
 def _encoder(content: bytes, kind: str) -> PieceEncoder:
-    tokenizer = Tokenizer.from_str(content.decode())
-    tokenizer.encode_special_tokens = True
-    return PieceEncoder(tokenizer, kind, spaced=False)
+    return PieceEncoder(Tokenizer.from_str(content.decode()), kind, spaced=False)
 
 
 @dataclass

@@ -91,7 +91,6 @@ def test_empty_table(codec, none, spark):
 
 def test_token_files(spark, docs):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     files = write_token_files(docs, scratch_path(spark, "t"), P.path("word_bpe_49k.json"), 2, 49_408, parts=3)
     rows = sorted(files.documents().collect(), key=lambda r: r["start"])
     source = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
@@ -109,7 +108,6 @@ def test_word_ids_equal_the_library_on_odd_texts(texts):
     with open(P.path("word_bpe_49k.json"), "rb") as file:
         encoder = _encoder(file.read(), "<u2")
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
-    for text in [*odd_texts(), *(t or "" for t in texts)]:
+    for text in [*odd_texts(), *(t or "" for t in texts), "hi <|endoftext|> x", "a<|STARTOFTEXT|>.b, c"]:
         ids = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.packed(text), "<u2").tolist() == ids, repr(text)
