@@ -7,7 +7,6 @@ from collections import Counter
 
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
 from brute import brute_near_copies
 
@@ -158,8 +157,9 @@ def test_near_copies_of_families_and_crowds(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     expected = brute_near_copies(rows)
     assert len({expected[i] for i in range(160, 250)}) > 1
-    for turns in (0, 2):
-        monkeypatch.setattr(near_copies, "TURNS", turns)
+    for hubs, few in ((1, 2), (8, 16)):
+        monkeypatch.setattr(near_copies, "HUBS", hubs)
+        monkeypatch.setattr(near_copies, "FEW", few)
         assert dict(map(tuple, copies_of(df))) == expected
 
 
@@ -184,7 +184,7 @@ def test_crowd_of_near_copies_is_compared_with_hubs(spark):
         rows = {near_copies._node(x): x.tobytes() for x in sets}
         crowd = spark.createDataFrame(list(rows.items()), "node bigint, hashes binary")
         entries = near_copies._sub_entries(crowd)
-        pairs = near_copies._hub_pairs(entries.withColumn("root", F.col("node")), 0).count()
+        pairs = near_copies._hub_pairs(entries).count()
         made.append((len(rows), pairs))
         found = dict(map(tuple, copies_of(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))))
         assert found == brute_near_copies(list(enumerate(texts)))
