@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from changerisk.functions.vectors import fold, vector_norm
 from changerisk.operators import pca, split, vectors
+from changerisk.operators.embedding import HashingEncoder
 from changerisk.operators.embedding import embed_text as embed
 from changerisk.plans.catalog.registry import query
 from changerisk.runtime import scratch_path
@@ -157,44 +158,42 @@ def pca_projection_2d(t):
     return placed.agg(F.count("*").alias("rows"), *squares, F.every(F.col("pc1_share") >= F.col("pc2_share")).alias("in_order"))
 
 
-# Texts whose words are cut to their first letter, "#" for all others: 27 tokens, which fall on
-# different places of a vector of this size, so that the vector is the list of their counts.
-LETTER_SIZE = 320
+# What the encoder counts at each place, recomputed from whole texts, and the length of its vectors.
+PLACES = 768
 
 _TOKENS = """
-    WITH words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents),
-    letters AS (
-        SELECT doc_id, CASE WHEN regexp_matches(word, '^[a-z]') THEN left(word, 1) ELSE '#' END AS letter, count(*) AS n
-        FROM words WHERE word <> '' GROUP BY ALL)
-    SELECT doc_id, 320 AS size, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS counts, 1.0::DOUBLE AS norm
-    FROM letters GROUP BY doc_id"""
-
-
-def letter_texts(documents):
-    words = F.regexp_replace(F.lower("text"), r"[^a-z\s]\S*|([a-z])\S*", "$1#")
-    return documents.withColumn("letters", F.regexp_replace(words, "([a-z])#", "$1"))
-
-
-def token_lengths(embedded):
-    """Word counts by token, regained from vectors of length one, and that length."""
-    words = F.size(F.filter(F.split("letters", r"\s+"), lambda word: word != ""))
-    scale = words / fold(F.col("embedding"), lambda x: x)
-    embedded = embedded.withColumn("scale", F.explode(F.array(scale)))  # a generator: computed once a row
-    counts = F.filter(F.transform("embedding", lambda x: F.round(x * F.col("scale")).cast("bigint")), lambda n: n > 0)
-    return embedded.select(
+    WITH words AS (
+        SELECT doc_id, md5(unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'))) AS digest
+        FROM documents),
+    places AS (
+        SELECT doc_id, CAST('0x' || left(digest, 8) AS BIGINT) % 768 AS place,
+               sum(CASE WHEN CAST('0x' || substr(digest, 9, 1) AS BIGINT) % 2 = 1 THEN -1 ELSE 1 END)::BIGINT AS n
+        FROM words WHERE digest <> md5('') GROUP BY ALL HAVING n <> 0),
+    listed AS (
+        SELECT doc_id, string_agg(place || ':' || n, ',' ORDER BY place) AS counts, round(sqrt(sum(n * n)), 4) AS length
+        FROM places GROUP BY doc_id)
+    SELECT doc_id, 768 AS size, coalesce(counts, '') AS counts, coalesce(length, 0.0)::DOUBLE AS length,
+           CASE WHEN length IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS norm, TRUE AS scaled
+    FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN listed USING (doc_id)"""
+
+
+def counted(embedded):
+    """Counts by place of the texts of vectors, and whether the vectors are those, scaled."""
+    texts = embedded.select("doc_id", "embedding", F.lower("text").alias("text"))
+    vectors = embed(texts, "text", "raw", encoder=HashingEncoder(PLACES, scaled=False))
+    vectors = vectors.withColumn("length", F.explode(F.array(vector_norm(F.col("raw")))))  # a generator: computed once a row
+    entry = F.transform("raw", lambda n, i: F.when(n != 0, F.concat_ws(":", i, n.cast("bigint"))))
+    off = F.zip_with("raw", "embedding", lambda n, x: F.abs(n - x * F.col("length")) > 1e-4 * F.col("length"))
+    return vectors.select(
         "doc_id",
         F.size("embedding").alias("size"),
-        F.array_join(F.array_sort(counts), ",").alias("counts"),
+        F.array_join(entry, ",").alias("counts"),
+        F.round("length", 4).alias("length"),
         F.round(vector_norm(F.col("embedding")), 4).alias("norm"),
+        (~F.exists(off, lambda x: x)).alias("scaled"),
     )
 
 
 @query("embed_text", _TOKENS)
 def embed_text(t):
-    return token_lengths(embed(letter_texts(t.documents), "letters", size=LETTER_SIZE))
-
-
-# Which place of the vector a word falls on is the encoder's hash, so whole texts have no SQL.
-@query("embed_text_whole")
-def embed_text_whole(t):
-    return embed(t.documents, "text").select("doc_id", "embedding")
+    return counted(embed(t.documents, "text", size=PLACES))

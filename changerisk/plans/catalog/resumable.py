@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from changerisk.functions.vectors import vector_norm
-from changerisk.plans.catalog.reduction import _LENGTHS, _TOKENS, LETTER_SIZE, full_model, letter_texts, token_lengths
+from changerisk.plans.catalog.reduction import _LENGTHS, _TOKENS, PLACES, counted, full_model
 from changerisk.plans.catalog.registry import query
 from changerisk.runtime import scratch_path
 from changerisk.streaming import incremental
@@ -48,14 +48,6 @@ def incremental_extract(t):
 @query("incremental_embed", _TOKENS)
 def incremental_embed(t):
     output = scratch_path(t.spark, "embedded")
-    for part in shares(t, letter_texts(t.documents), "doc_id"):
-        incremental.incremental_embed(part, output, scratch_path(t.spark, "progress"), "doc_id", "letters", size=LETTER_SIZE)
-    return token_lengths(t.spark.read.parquet(output))
-
-
-@query("incremental_embed_whole")
-def incremental_embed_whole(t):
-    output = scratch_path(t.spark, "embedded")
-    for part in shares(t, t.documents, "doc_id"):
-        incremental.incremental_embed(part, output, scratch_path(t.spark, "progress"), "doc_id", "text")
-    return t.spark.read.parquet(output).select("doc_id", "embedding")
+    for part in shares(t, t.documents.select("doc_id", "text"), "doc_id"):
+        incremental.incremental_embed(part, output, scratch_path(t.spark, "progress"), "doc_id", "text", size=PLACES)
+    return counted(t.spark.read.parquet(output))

@@ -75,6 +75,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(jvm_path)
 
 
+def make_path(spark: SparkSession, path: str) -> None:
+    """Make a folder, if it does not exist."""
+    file_system, jvm_path = _file_system(spark, path)
+    file_system.mkdirs(jvm_path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, if it exists."""
     file_system, jvm_path = _file_system(spark, path)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changerisk.operators.clean import dedupe_by_key
-from changerisk.operators.embedding import Encoder, embed_text
-from changerisk.operators.joins import pending_rows
+from changerisk.operators.embedding import TextEncoder, embed_text
 from changerisk.operators.pca import pca_transform
-from changerisk.runtime import path_exists, remove_path
+from changerisk.runtime import freeze, make_path, path_exists, remove_path
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# Kinds of the rows of a batch: a key of the output, a key that the state did not hold, a row that came.
+_KNOWN, _NEW, _ROW = 0, 1, 2
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -51,6 +57,30 @@ def incremental_pca_transform(
     run_available(pca_transform(stream, model, vector), output, checkpoint, overwrite)
 
 
+def _written_keys(spark: SparkSession, output: str, key: T.StructField) -> DataFrame:
+    """The keys of the output as a stream: what is there when a job starts and it has not read before.
+
+    Files that a repeated batch has replaced meanwhile are skipped: their keys are its own.
+    """
+    make_path(spark, output)
+    schema = T.StructType([T.StructField(key.name, key.dataType)])
+    return spark.readStream.schema(schema).option("ignoreMissingFiles", "true").parquet(output)
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, where a batch touches its own keys only."""
+    old = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, old)
+
+
 def incremental_append(
     stream: DataFrame,
     output: str,
@@ -59,43 +89,61 @@ def incremental_append(
     transform: Callable[[DataFrame], DataFrame] | None = None,
     order_by: Sequence[str] = (),
     overwrite: bool = False,
-) -> None:
-    """Append rows whose key is not in the output yet.
+) -> list[int]:
+    """Append rows whose key is not in the output yet; returns the rows each micro-batch read.
 
     Each micro-batch keeps the first row of each key by ``order_by`` and then the other columns,
     leaves out keys written before, and writes a folder of its own. Folders are named by the
     streaming query, which a checkpoint stands for, and the number of the batch: a batch that is
     retried replaces its own folder and no other, and a new checkpoint starts new folders. Where
     the output is gone, old progress is ignored; ``overwrite`` removes both first.
+
+    Which keys are known is keyed state of the stream: its keys run through a ``dropDuplicates``
+    with a RocksDB store, so a batch looks up its own keys. Of the output, a job reads the keys that
+    were written since its last start, each once; a new checkpoint so reads all of them with its
+    first batch. Two jobs that append to one output at the same time do not see each other's keys.
+    Rows with a null key are one key.
     """
     spark = stream.sparkSession
     _prepare(spark, output, checkpoint, overwrite)
+    before = _written_keys(spark, output, stream.schema[key])
+    columns = [F.col(f"`{c}`") for c in stream.columns]
+    row = F.struct(*columns)
+    nothing = F.lit(None).cast(T.StructType(stream.schema.fields))
+    name = F.col(f"`{key}`")
+    seen = before.select(name.alias("key"), F.lit(_KNOWN).alias("kind"), nothing.alias("row"))
+    fresh = before.select(name.alias("key")).union(stream.select(name.alias("key"))).dropDuplicates(["key"])
+    fresh = fresh.select("key", F.lit(_NEW).alias("kind"), nothing.alias("row"))
+    rows = stream.select(name.alias("key"), F.lit(_ROW).alias("kind"), row.alias("row"))
     started, names = threading.Event(), []
 
     def write(batch: DataFrame, number: int) -> None:
         started.wait()
-        session = batch.sparkSession
-        fresh = dedupe_by_key(batch, key, order_by)
-        if path_exists(session, output):
-            known = T.StructType([batch.schema[key], T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
-            written = session.read.schema(known).parquet(output)
-            fresh = pending_rows(fresh, written.filter((F.col("run") != names[0]) | (F.col("batch") != number)), key)
-        result = transform(fresh) if transform else fresh
+        batch = freeze(batch)  # the state is asked once, whatever is computed from the batch
+        keys, old = (batch.filter(F.col("kind") == kind).select("key") for kind in (_NEW, _KNOWN))
+        keys = keys.join(old, keys["key"].eqNullSafe(old["key"]), "left_anti")
+        came = batch.filter(F.col("kind") == _ROW)
+        came = came.join(keys, came["key"].eqNullSafe(keys["key"]), "left_semi").select("row.*")
+        picked = dedupe_by_key(came, key, order_by)
+        result = transform(picked) if transform else picked
         result.write.mode("overwrite").parquet(f"{output}/run={names[0]}/batch={number}")
 
-    query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    names.append(str(query.id))
-    started.set()
-    query.awaitTermination()
+    with _keyed_state(spark):
+        query = (
+            seen.union(fresh).union(rows).writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        names.append(str(query.id))
+        started.set()
+        query.awaitTermination()
+    return [progress.numInputRows for progress in query.recentProgress]
 
 
 def incremental_extract(
     stream: DataFrame, output: str, checkpoint: str, key: str = "commit_id", order_by: Sequence[str] = (), overwrite: bool = False
-) -> None:
-    """Append only commits that have not been extracted."""
-    incremental_append(stream, output, checkpoint, key, None, order_by, overwrite)
+) -> list[int]:
+    """Append only commits that have not been extracted; returns the rows each micro-batch read."""
+    return incremental_append(stream, output, checkpoint, key, None, order_by, overwrite)
 
 
 def incremental_embed(
@@ -105,9 +153,9 @@ def incremental_embed(
     key: str = "commit_id",
     text: str = "input_text",
     size: int = 768,
-    encoder: Encoder | None = None,
+    encoder: TextEncoder | None = None,
     overwrite: bool = False,
-) -> None:
-    """Embed and append only rows that have no vector yet."""
+) -> list[int]:
+    """Embed and append only rows that have no vector yet; returns the rows each micro-batch read."""
     embed = lambda rows: embed_text(rows, text, size=size, encoder=encoder)
-    incremental_append(stream, output, checkpoint, key, embed, overwrite=overwrite)
+    return incremental_append(stream, output, checkpoint, key, embed, overwrite=overwrite)

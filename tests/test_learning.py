@@ -1,15 +1,17 @@
 """Metrics, reduction, models, experiments, incremental jobs."""
 
 import datetime as dt
+import hashlib
 import math
 import re
-from collections import Counter
+import sys
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from changerisk.errors import ChangeRiskError
 from changerisk.operators import embedding, fusion, metrics, models, pca, vectors
 from changerisk.plans.experiment import run_experiment
@@ -113,8 +115,56 @@ def test_embed_text(spark):
     df = spark.createDataFrame([(1, "One two  two"), (2, None)], "k int, input_text string")
     rows = {r["k"]: r["embedding"] for r in embedding.embed_text(df, size=16).collect()}
     assert sum(v * v for v in rows[1]) == pytest.approx(1, abs=1e-6) and set(rows[2]) == {0.0}
-    custom = embedding.embed_text(df, encoder=lambda texts: [[float(len(t))] for t in texts]).orderBy("k").collect()
-    assert [r["embedding"] for r in custom] == [[12.0], [0.0]]
+
+
+def plain_vector(words, size):
+    counts = np.zeros(size)
+    for word in words:
+        digest = hashlib.md5(word.encode()).hexdigest()
+        counts[int(digest[:8], 16) % size] += -1 if int(digest[8], 16) % 2 else 1
+    return counts / (np.linalg.norm(counts) or 1.0)
+
+
+@pytest.mark.parametrize("size, most", [(768, None), (16, None), (768, 256), (5, 1)])
+def test_vectors_are_signed_word_counts(spark, size, most):
+    """256 words are the bound of a transformer with short inputs."""
+    texts = [None, "", " \n\t", "One two  two", "Ünï\u00a0cödé x\u0085y", "w " * 400 + "tail"] + [f"a b{i} c{i % 7} " * i for i in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, input_text string").repartition(3)
+    found = {r["k"]: r["embedding"] for r in embedding.embed_text(df, size=size, max_tokens=most).collect()}
+    for k, text in enumerate(texts):
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w][:most]
+        assert np.asarray(found[k]) == pytest.approx(plain_vector(words, size), abs=1e-6)
+
+
+@dataclass(frozen=True)
+class Counting(embedding.TextEncoder):
+    """Tells how often its worker was set up, how many texts came at once, and their bytes."""
+
+    size: int = 4
+    batch_rows: int = 8
+    batch_bytes: int = 100
+
+    def setup(self):
+        return {"calls": 0, "id": np.random.default_rng().integers(1 << 20)}
+
+    def encode(self, state, texts):
+        state["calls"] += 1
+        total = sum(len(t.encode()) for t in texts)
+        return np.array([[len(texts), total, state["id"], state["calls"]]] * len(texts), "f4")
+
+
+def test_encoder_is_set_up_once_a_worker_and_gets_bounded_batches(spark):
+    cloudpickle.register_pickle_by_value(sys.modules[Counting.__module__])
+    texts = ["x" * (i % 60) for i in range(400)] + ["y" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, input_text string").coalesce(1)
+    rows = [r["embedding"] for r in embedding.embed_text(df, encoder=Counting()).collect()]
+    assert all(n <= 8 and (total <= 100 or n == 1) for n, total, _, _ in rows)
+    assert len({state for _, _, state, _ in rows}) == 1 and max(calls for *_, calls in rows) > 50
+
+
+def test_texts_in_batches():
+    texts = ["a" * n for n in (3, 4, 50, 1, 1, 1, 0)]
+    assert list(embedding.text_batches(texts, 3, 10)) == [texts[:2], texts[2:3], texts[3:6], texts[6:]]
 
 
 def test_encoding(spark):
@@ -209,21 +259,43 @@ def test_incremental_append_chooses_one_row_per_key(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(output).select("commit_id", "n", "t").collect()} == {(1, 1, "a"), (2, 5, "x")}
 
 
-@pytest.mark.parametrize("name", ["embed_text_whole", "incremental_embed_whole"])
-def test_whole_texts_are_embedded(spark, name):
-    from pyspark.ml.feature import HashingTF
-
-    folder = "/root/testdata/sf0.001"
-    found = {r["doc_id"]: r["embedding"] for r in queries()[name](spark, folder).collect()}
-    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    assert set(found) == set(texts)
-    words = {key: Counter(filter(None, re.split(r"[ \t\n\x0b\f\r]+", text.lower()))) for key, text in texts.items()}
-    alone = spark.createDataFrame([([word],) for word in set().union(*words.values())], "word array<string>")
-    alone = HashingTF(inputCol="word", outputCol="place", numFeatures=768).transform(alone).collect()
-    place = {r["word"][0]: int(r["place"].indices[0]) for r in alone}
-    for key, counts in words.items():
-        expected = np.zeros(768)
-        for word, n in counts.items():
-            expected[place[word]] += n
-        length = np.linalg.norm(expected) or 1.0
-        assert np.asarray(found[key]) == pytest.approx(expected / length, abs=1e-6)
+def test_batches_read_no_output(spark, tmp_path):
+    """A start reads its rows and the keys written since the last one, however much was written before."""
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "commit_id bigint, n int"
+    read = []
+    for low in (0, 1000, 2000, 3000):
+        spark.range(low - 5 if low else 0, low + 1000).selectExpr("id as commit_id", "1 as n").coalesce(1).write.mode("append").parquet(source)
+        stream = incremental.file_stream(spark, source, schema)
+        read.append(sum(incremental.incremental_extract(stream, output, str(tmp_path / "p"))))
+    assert spark.read.parquet(output).count() == 4000 and read[3] <= 1.1 * read[1]
+    stream = incremental.file_stream(spark, source, schema)
+    again = incremental.incremental_extract(stream, output, str(tmp_path / "q"))
+    assert spark.read.parquet(output).count() == 4000 and sum(again) >= 4000
+
+
+def test_a_batch_that_fails_is_repeated_whole(spark, tmp_path):
+    """The state of a failed batch is not kept, so the next run writes its keys."""
+    source, output, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
+    spark.range(20).withColumnRenamed("id", "commit_id").write.parquet(source)
+    schema = spark.read.parquet(source).schema
+
+    def broken(rows):
+        return rows.filter(F.raise_error(F.lit("stop")).isNull())
+
+    with pytest.raises(Exception):
+        incremental.incremental_append(incremental.file_stream(spark, source, schema), output, progress, "commit_id", broken)
+    spark.createDataFrame([(-1,)], "commit_id bigint").write.parquet(f"{output}/run=other/batch=0")
+    incremental.incremental_append(incremental.file_stream(spark, source, schema), output, progress, "commit_id")
+    assert sorted(r["commit_id"] for r in spark.read.parquet(output).collect()) == [-1, *range(20)]
+
+
+def test_null_keys_and_odd_columns(spark, tmp_path):
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(None, 2, "a"), (None, 1, "b"), (1, 1, "c")]
+    spark.createDataFrame(rows, "key bigint, kind int, `row` string").write.parquet(source)
+    for progress in ("p", "q"):
+        stream = incremental.file_stream(spark, source, spark.read.parquet(source).schema)
+        incremental.incremental_append(stream, output, str(tmp_path / progress), "key", order_by=["kind"])
+    found = [tuple(r) for r in spark.read.parquet(output).select("key", "kind", "row").collect()]
+    assert sorted(found, key=str) == [(1, 1, "c"), (None, 1, "b")]
