@@ -15,18 +15,16 @@ from pyspark.sql import functions as F
 
 from changerisk.fixed_values import COMMIT_COLUMNS, RECENT_SECONDS
 from changerisk.functions import text
+from changerisk.operators.developers import BLOCK, distinct_developers
 from changerisk.operators.labels import label_initial
 from changerisk.operators.ordering import BLOCK_ROWS, newest_per_group, prior_in_key, with_position
-from changerisk.runtime import broadcast_if_small, freeze
+from changerisk.runtime import freeze
 
 COMMIT = ["project", "commit_id"]
 
 # Both sides of a join grow with the log: the "merge" hints keep Spark from broadcasting one of
 # them on an estimate, and leave skewed keys to adaptive execution.
 
-# Commits above which the developers of a file are counted, not enumerated.
-HOT_TOUCHES = 10_000
-
 
 def recent_n_commits(commits: DataFrame, n: int, seq: str | None = None) -> DataFrame:
     """The newest ``n`` commits of each project, by ``seq`` where given, else by date; apply before
@@ -59,7 +57,7 @@ class ChangeHistory:
     changes: DataFrame
     suffixes: text.Suffixes
     block_rows: int = BLOCK_ROWS
-    hot_touches: int = HOT_TOUCHES
+    developer_block: int = BLOCK
     seq: str | None = None
     _cache: dict = field(default_factory=dict, repr=False)
 
@@ -197,68 +195,18 @@ class ChangeHistory:
             )
         )
 
-    def _hot_files(self) -> DataFrame:
-        """Files that more than ``hot_touches`` commits change or look up."""
-        counts = self._file_entries().groupBy("project", "file").agg(F.count("*").alias("n"))
-        return counts.filter(F.col("n") > self.hot_touches).select("project", "file")
-
     def developer_count(self) -> DataFrame:
         """ndev: distinct authors of earlier commits over all relevant files of a commit.
 
-        An author counts for a file from their first touch on. The developers of cold files are
-        enumerated and deduplicated per commit. Files with very many changes would emit far too
-        many pairs, so the hot files of a commit form one set: its developers arrive one by one
-        in time, their number is an as-of count, and a developer of a cold file is added only
-        if the set does not hold them yet.
+        An author counts for a file from their first touch on; see ``developers`` for how.
         """
-        _, span = self.positions()
         self._keep_entries()
-        entries = self._file_entries()
+        entries = self._file_entries().withColumns({c: F.col(c).cast("string") for c in (*COMMIT, "author")})
         lookups = entries.filter("lookups > 0").select(*COMMIT, "file", "pos")
-        first_touch = (
-            entries.filter("touches > 0")
-            .groupBy("project", "file", F.col("author").alias("developer"))
-            .agg(F.min("pos").alias("since"))
-        )
-        hot = freeze(self._hot_files())
-        if hot.isEmpty():
-            known = lookups.join(first_touch.hint("merge"), ["project", "file"], "left")
-            earlier = F.when(F.col("since") < F.col("pos"), F.col("developer"))
-            return known.groupBy(*self.key).agg(F.count_distinct(earlier).alias("ndev"))
-
-        marked = lookups.join(
-            broadcast_if_small(hot).withColumn("hot", F.lit(True)), ["project", "file"], "left"
-        ).withColumn("hot", F.coalesce("hot", F.lit(False)))
-        cold = marked.filter("not hot")
-        sets = (
-            marked.filter("hot").groupBy(*COMMIT, "pos").agg(F.array_sort(F.collect_set("file")).alias("files"))
-            .withColumn("set_id", F.sha2(F.to_json("files"), 256))
-        )
-        set_touch = (
-            sets.select("project", "set_id", "files").distinct()
-            .select("project", "set_id", F.explode("files").alias("file"))
-            .join(first_touch, ["project", "file"])
-            .groupBy("project", "set_id", "developer").agg(F.min("since").alias("since"))
-        )
-        arrivals = set_touch.groupBy("project", "set_id", F.col("since").alias("pos")).agg(F.count("*").alias("n"))
-        asked = sets.select("project", "set_id", "pos", "commit_id")
-        curve = arrivals.join(asked, ["project", "set_id", "pos"], "full").withColumn("n", F.coalesce("n", F.lit(0)))
-        counted = prior_in_key(curve, ["project", "set_id"], "n", span=span, block_rows=self.block_rows)
-        from_hot = counted.filter("commit_id is not null").select(*COMMIT, F.col("prior_count").alias("hot_devs"))
-
-        pairs = (
-            cold.join(first_touch.hint("merge"), ["project", "file"]).filter("since < pos")
-            .select(*COMMIT, "pos", "developer").distinct()
-            .join(sets.select(*COMMIT, "set_id"), COMMIT, "left")
-            .join(set_touch.withColumnRenamed("since", "in_set_since"), ["project", "set_id", "developer"], "left")
-            .filter("in_set_since is null or in_set_since >= pos")
-        )
-        from_cold = pairs.groupBy(*COMMIT).agg(F.count("*").alias("cold_devs"))
-        return (
-            lookups.select(*COMMIT).distinct()
-            .join(from_hot, COMMIT, "left").join(from_cold, COMMIT, "left")
-            .select(*self.key, (F.coalesce("hot_devs", F.lit(0)) + F.coalesce("cold_devs", F.lit(0))).alias("ndev"))
-        )
+        touches = entries.filter("touches > 0").select("project", "file", "author", "pos")
+        counted = distinct_developers(lookups, touches, self.developer_block)
+        kinds = dict(self.positions()[0].dtypes)
+        return counted.select(*[F.col(c).cast(kinds[c]).alias(c) for c in self.key], "ndev")
 
     # ---- authors ------------------------------------------------------------------------
 
