@@ -105,3 +105,13 @@ def write_report(t):
     path = scratch_path(t.spark, "report")
     sinks.write_report(label_distribution(labelled_orders(t)), path)
     return t.spark.read.schema("buggy int, count bigint").json(path)
+
+
+# Cells with line breaks and quotes, read in splits.
+@query("load_commits_csv", "SELECT doc_id, lang, md5(text) AS text_md5, n_chars FROM documents")
+def load_commits_csv(t):
+    path = scratch_path(t.spark, "dataset")
+    sinks.write_dataset(t.documents.select("doc_id", "lang", "text", "n_chars"), path)
+    schema = "doc_id bigint, lang string, text string, n_chars bigint"
+    df = tables.load_commits(t.spark, path, schema=schema, required=["doc_id"], date_columns=())
+    return df.select("doc_id", "lang", F.md5("text").alias("text_md5"), "n_chars")

@@ -13,6 +13,7 @@ from changerisk.errors import SchemaMismatchError, require_columns
 from changerisk.fixed_values import COMMIT_COLUMNS, REQUIRED_COLUMNS
 from changerisk.functions.vectors import parse_vector
 from changerisk.runtime import path_exists
+from changerisk.sources.quoted_csv import read_quoted_csv
 
 # Magnitudes above which an epoch value is read as nanoseconds or milliseconds.
 _NANOS_ABOVE, _MILLIS_ABOVE = 10**15, 10**12
@@ -71,17 +72,16 @@ def load_commits(
 ) -> DataFrame:
     """Read a commit table, check its columns and parse its dates.
 
-    Parquet is the format to keep tables in. CSV cells hold line breaks, so a CSV file is read by
-    one task: give many files. Text formats need a ``schema`` (or are read as strings by header
-    name). ``rename`` derives columns from others before the check; ``rows`` keeps only that many
+    Parquet is the format to keep tables in. CSV cells hold line breaks; such files are read by as
+    many tasks as they have splits (``quoted_csv``). Text formats need a ``schema`` (or are read as
+    strings by header name). ``rename`` derives columns from others before the check; ``rows`` keeps only that many
     rows, whichever are read first, for a look at a table.
     """
-    reader = spark.read.format(source_format)
-    if schema is not None:
-        reader = reader.schema(schema)
     if source_format == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
-    df = reader.load(path)
+        df = read_quoted_csv(spark, path, schema)
+    else:
+        reader = spark.read.format(source_format)
+        df = (reader if schema is None else reader.schema(schema)).load(path)
     if rename:
         df = df.withColumns(rename)
     require_columns(df, required)
@@ -106,7 +106,7 @@ def read_embeddings(
     spark: SparkSession, path: str, *, schema: str, column: str = "embedding", rows: int | None = None
 ) -> DataFrame:
     """Read a CSV table whose ``column`` holds JSON arrays, as arrays of floats."""
-    df = spark.read.options(header=True, multiLine=True, escape='"').schema(schema).csv(path)
+    df = read_quoted_csv(spark, path, schema)
     if rows is not None:
         df = df.limit(rows)
     return df.withColumn(column, parse_vector(F.col(column)))
