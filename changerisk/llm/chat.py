@@ -46,14 +46,21 @@ def _turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), _role(role), F.lit(SEPARATOR), text, F.lit(CLOSE))
 
 
-#: A turn without its closing mark: the role, and the text as written.
-_TURN = r"(?s)\A### ((?:[^\\:]|\\[\\:])*): (.*)\z"
-
-
 def _read_turn(turn: Column) -> Column:
-    """Role and text of one turn without its closing mark; null if it does not follow the grammar."""
-    role, text = F.regexp_extract(turn, _TURN, 1), F.regexp_extract(turn, _TURN, 2)
-    valid = F.regexp_like(turn, F.lit(_TURN)) & ~F.regexp_like(text, F.lit(rf"(?<!\\)(?:{_CONTROL})"))
+    """Role and text of one turn without its closing mark; null if it does not follow the grammar.
+
+    The role ends at the first ":" that no backslash escapes. Escapes are blanked by a replacement,
+    which takes a role of any length; a pattern for whole roles would go as deep as they are long.
+    """
+    blank = F.regexp_replace(turn, r"\\[\\:]", "__")
+    colon = F.locate(":", blank)
+    role, text = F.substring(turn, F.lit(len(OPEN) + 1), colon - len(OPEN) - 1), F.substring(turn, colon + 2, F.length(turn))
+    valid = (
+        F.startswith(turn, F.lit(OPEN))
+        & (F.substring(blank, colon, F.lit(2)) == SEPARATOR)
+        & ~F.contains(F.substring(blank, F.lit(1), colon), F.lit("\\"))
+        & ~F.regexp_like(text, F.lit(rf"(?<!\\)(?:{_CONTROL})"))
+    )
     read = F.struct(F.regexp_replace(role, r"\\([\\:])", "$1").alias("role"), unescape(text).alias("text"))
     return F.when(valid, read)
 
@@ -73,7 +80,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     ``loss`` lists the spans of ``formatted`` (start from 0, length, in code points) that hold an
     assistant's text as written. Turns are ordered by turn, then role and text; repeated turns are
-    all kept. Null roles and texts are empty; null turns come first; a null id is one more
+    all kept. Roles and texts may be of any length; null ones are empty; null turns come first; a null id is one more
     conversation. An empty table gives no rows.
     """
     turns = rows.select(

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from changerisk.llm.chat import conversation_digests, format_conversations, read_conversation
 from changerisk.llm.html_lines import ARTICLE, BOILERPLATE, UNDECIDED, lines_of
@@ -209,6 +210,17 @@ def test_plain_texts_are_not_escaped(spark):
     assert format_conversations(df).first()["formatted"] == "### user: a\\b # c </turn>\n"
 
 
+def test_long_and_odd_roles(spark):
+    """Roles as long as texts, also of characters that are escaped, and such as look like the template."""
+    roles = ["r" * 300_000, ":" * 20_000, "\\" * 20_001, "\\:" * 5_000, "### a: b", ": ", "a\\", "", "\n</turn>"]
+    rows = [(i, j, role, text) for i, role in enumerate(roles) for j, text in enumerate(["hi: there", ":", "\\: x"])]
+    found = format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"))
+    read = found.select("conv_id", read_conversation(F.col("formatted")).alias("turns")).collect()
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in read} == {
+        i: [(role, text) for _, _, role, text in rows[3 * i : 3 * i + 3]] for i, role in enumerate(roles)
+    }
+
+
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert conversation_digests(format_conversations(df)).collect() == []
