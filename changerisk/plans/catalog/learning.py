@@ -1,45 +1,64 @@
 """Training, scoring and whole experiments.
 
-SQL cannot grow trees, but it knows what they must find: the label is a threshold of one feature,
-so full-size models predict it exactly, and every metric and the leading feature follow.
+SQL cannot grow trees, but it knows what they must find: the label follows from thresholds of three
+features, so full-size models predict it exactly, and every metric and the order of the features
+follow. The fourth feature says nothing.
 """
 
 from pyspark.sql import functions as F
 
 from changerisk.fixed_values import CHANGE_METRICS
 from changerisk.operators import models, split
+from changerisk.operators.leafwise import Growth, LeafwiseBoosting
 from changerisk.plans.catalog.registry import query
 from changerisk.plans.catalog.roles import HISTORY, change_history, labelled_orders
 from changerisk.plans.experiment import run_experiment
 from changerisk.runtime import freeze
 
-FEATURES = ["p_size", "p_retailprice"]
-BINS = {"maxBins": 64}  # a bin for each of the 50 sizes
+FEATURES = ["quantity", "discount", "tax", "line"]
+BINS = {"maxBins": 64}  # a bin for each of the 50 quantities
+FEW_ROUNDS = {"rounds": 10, "learning_rate": 0.5}
 
 
-def part_sides(t):
-    """Parts as commits: large ones are faulty."""
-    rows = t.part.select(F.col("p_partkey").alias("commit_id"), *FEATURES, (F.col("p_size") > 25).cast("int").alias("buggy"))
-    return split.random_holdout(freeze(rows), "commit_id")
+def changed_lines(t):
+    """Order lines as commits: large ones are faulty, and those of high discount and high tax."""
+    rows = t.lineitem.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("commit_id")).agg(
+        F.max("l_quantity").alias("quantity"),
+        F.max(F.round(F.col("l_discount") * 100)).alias("discount"),
+        F.max(F.round(F.col("l_tax") * 100)).alias("tax"),
+        F.max("l_linenumber").alias("line"),
+    )
+    return rows.withColumn("buggy", F.expr("quantity > 30 or (discount >= 4 and tax >= 7)").cast("int"))
+
+
+def line_sides(t):
+    return split.random_holdout(freeze(changed_lines(t)), "commit_id")
 
 
-_TEST = """
-    WITH test AS (
-        SELECT p_partkey AS commit_id, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS y FROM part
-        QUALIFY row_number() OVER (ORDER BY md5(CAST(p_partkey AS VARCHAR) || ':42'), p_partkey)
-                > floor((SELECT count(*) FROM part) * 0.8::DOUBLE))"""
+_LINES = """
+    WITH lines AS (
+        SELECT l_orderkey * 8 + l_linenumber AS commit_id, max(l_quantity) AS quantity,
+               max(round(l_discount * 100)) AS discount, max(round(l_tax * 100)) AS tax, max(l_linenumber) AS line
+        FROM lineitem GROUP BY 1),
+    labelled AS (
+        SELECT *, CASE WHEN quantity > 30 OR (discount >= 4 AND tax >= 7) THEN 1 ELSE 0 END AS y FROM lines)"""
+_TEST = _LINES + """,
+    test AS (
+        SELECT commit_id, y FROM labelled
+        QUALIFY row_number() OVER (ORDER BY md5(CAST(commit_id AS VARCHAR) || ':42'), commit_id)
+                > floor((SELECT count(*) FROM labelled) * 0.8::DOUBLE))"""
 _PREDICTED = _TEST + "SELECT commit_id, y AS y_true, y AS y_pred, y AS likely FROM test"
 
 
 def fitted(t, name):
-    """A full-size model and its predictions on the held-out parts."""
-    train, test = part_sides(t)
+    """A full-size model and its predictions on the held-out lines."""
+    train, test = line_sides(t)
     if name == "random_forest":
         model = models.train_random_forest(train, FEATURES, **BINS)
     elif name == "boosted_trees":
         model = models.train_boosted_trees(train, FEATURES, positive_weight=models.scale_pos_weight(train), **BINS)
     else:
-        model = models.train_boosted_trees_fine(train, FEATURES)
+        model = models.train_boosted_trees_fine(train, FEATURES, **FEW_ROUNDS)
     return model, models.predictions(model, test, FEATURES, ["commit_id"])
 
 
@@ -62,15 +81,49 @@ def train_boosted_trees_fine(t):
     return checked(fitted(t, "boosted_trees_fine")[1])
 
 
+# The first split of all lines: the sums of gradients and hessians at each value of each feature.
+@query("leafwise_first_split", _LINES + """,
+    cells AS (
+        SELECT unnest([0, 1, 2, 3]) AS feature, unnest([quantity, discount, tax, line::DOUBLE]) AS x, y,
+               (SELECT avg(y) FROM labelled) AS p
+        FROM labelled),
+    bins AS (
+        SELECT feature, x, sum(p - y) AS g, sum(p * (1 - p)) AS h, count(*) AS n FROM cells GROUP BY feature, x),
+    sides AS (
+        SELECT feature, x, sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(n) OVER upto AS nl,
+               sum(g) OVER every AS ga, sum(h) OVER every AS ha, sum(n) OVER every AS na,
+               lead(x) OVER (PARTITION BY feature ORDER BY x) AS threshold
+        FROM bins WINDOW upto AS (PARTITION BY feature ORDER BY x), every AS (PARTITION BY feature))
+    SELECT (['quantity', 'discount', 'tax', 'line'])[feature + 1] AS feature, threshold,
+           round((gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)) / 2, 3) AS gain,
+           nl::BIGINT AS rows_left, round(-gl / (hl + 1), 6) AS left_value, round(-(ga - gl) / (ha - hl + 1), 6) AS right_value
+    FROM sides WHERE threshold IS NOT NULL
+    ORDER BY round((gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)) / 2, 6) DESC, feature, x LIMIT 1""")
+def leafwise_first_split(t):
+    rows = models.assemble(freeze(changed_lines(t)), FEATURES).withColumnRenamed("buggy", "label")
+    growth = Growth(rounds=1, learning_rate=1.0, leaves=2, penalty=1.0)
+    tree = LeafwiseBoosting(**growth.__dict__).fit(rows).trees[0]
+    name, threshold = FEATURES[tree.feature[0]], tree.threshold[0]
+    left = rows.agg(F.count_if(F.col(name) < threshold).alias("rows_left"))
+    return left.select(
+        F.lit(name).alias("feature"),
+        F.lit(threshold).alias("threshold"),
+        F.lit(round(tree.gain[0], 3)).alias("gain"),
+        "rows_left",
+        F.lit(round(tree.value[1], 6)).alias("left_value"),
+        F.lit(round(tree.value[2], 6)).alias("right_value"),
+    )
+
+
 @query("predictions", _PREDICTED)
 def predictions(t):
-    train, test = part_sides(t)
+    train, test = line_sides(t)
     model = models.train("random_forest", train, FEATURES, **BINS)
     return checked(models.predictions(model, test, FEATURES, ["commit_id"]))
 
 
 def both(t):
-    train, test = part_sides(t)
+    train, test = line_sides(t)
     return {
         name: models.predictions(models.train(name, train, FEATURES, **BINS), test, FEATURES, ["commit_id"])
         for name in ("random_forest", "boosted_trees")
@@ -85,15 +138,21 @@ def model_factory(t):
     return wide.select("commit_id", "y_true", "random_forest_pred", "boosted_trees_pred", agree.alias("scores_agree"))
 
 
-@query("feature_importance", """
-    WITH sized AS (SELECT p_size, p_retailprice, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS y FROM part)
-    SELECT feature, 1.0::DOUBLE AS total
-    FROM (SELECT unnest(['p_size', 'p_retailprice']) AS feature, unnest([abs(corr(p_size, y)), abs(corr(p_retailprice, y))]) AS strength
-          FROM sized) ORDER BY strength DESC LIMIT 1""")
+# In the order of how much of the label's variance a feature explains alone.
+@query("feature_importance", _LINES + """,
+    cells AS (
+        SELECT unnest(['quantity', 'discount', 'tax', 'line']) AS feature, unnest([quantity, discount, tax, line::DOUBLE]) AS x, y
+        FROM labelled),
+    means AS (SELECT feature, x, avg(y) AS mean, count(*) AS n FROM cells GROUP BY feature, x),
+    explained AS (
+        SELECT feature, sum(n * (mean - (SELECT avg(y) FROM labelled)) * (mean - (SELECT avg(y) FROM labelled))) AS strength
+        FROM means GROUP BY feature)
+    SELECT string_agg(feature, ',' ORDER BY strength DESC) AS ranking, 1.0::DOUBLE AS total FROM explained""")
 def feature_importance(t):
     model, _ = fitted(t, "random_forest")
     importance = models.feature_importance(model, FEATURES, t.spark)
-    return importance.agg(F.max_by("feature", "importance").alias("feature"), F.round(F.sum("importance"), 6).alias("total"))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False), lambda row: row["feature"])
+    return importance.agg(F.array_join(names, ",").alias("ranking"), F.round(F.sum("importance"), 6).alias("total"))
 
 
 @query("model_comparison", _TEST + """
@@ -120,7 +179,8 @@ def _sources(t):
 
 
 def experiment(t, number):
-    return run_experiment(number, labelled_orders(t), _sources(t), first_year=1995, last_year=2001)
+    params = {"boosted_trees_fine": {"rounds": 5}}
+    return run_experiment(number, labelled_orders(t), _sources(t), first_year=1995, last_year=2001, params=params)
 
 
 def tested(outcome):
