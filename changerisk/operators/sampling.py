@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from changerisk.errors import EmptyInputError, require_columns
 from changerisk.fixed_values import FIRST_YEAR, LAST_YEAR, SAMPLE_ROWS, SEED
 from changerisk.operators.ordering import with_position
-from changerisk.operators.selection import first_rows, md5_key, md5_number
+from changerisk.operators.selection import first_rows, md5_key, md5_number, text_at
 from changerisk.runtime import broadcast_if_small, freeze
 
 # A stratum is cut into this many hash buckets, given by four hex digits.
@@ -125,14 +125,34 @@ def top_projects(df: DataFrame, column: str = "project", n: int = 10) -> DataFra
 
 
 def head_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """First ``n`` rows by a unique key; the last of them is found first, and no rows are gathered."""
-    if isinstance(df.schema[key].dataType, T.IntegralType):
-        return df.filter(first_rows(df, F.col(key), [key], n))
-    keys, rows = with_position(df.filter(F.col(key).isNotNull()).select(key), [F.col(key)])
-    if n >= rows:
-        return df.filter(F.col(key).isNotNull()) if n == rows else df
-    last = keys.filter(F.col("pos") == n - 1).first()
-    return df.filter(F.col(key) <= F.lit(last[key])) if last else df.limit(0)
+    """First ``n`` rows by a unique key, nulls last; the last of them is found by counting, and no rows are gathered.
+
+    Fewer rows than ``n`` are all returned. Rows that repeat a key are told apart by nothing, so
+    those that the limit cuts are any of them.
+    """
+    kind = df.schema[key].dataType
+    known, rest = df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
+    if n <= 0:
+        return df.limit(0)
+    if isinstance(kind, T.IntegralType):
+        if known.count() >= n:
+            return known.filter(first_rows(known, F.col(key), [key], n))
+        last = None
+    elif isinstance(kind, T.StringType):
+        last = text_at(known, key, n - 1)
+    else:
+        keys, _ = with_position(known.select(key), [F.col(key)])
+        hit = keys.filter(F.col("pos") == n - 1).first()
+        last = hit[key] if hit else None
+    if last is None:
+        return _filled(known, rest, n)
+    below, equal = known.filter(F.col(key) < F.lit(last)), known.filter(F.col(key) == F.lit(last))
+    return below.union(equal.limit(n - below.count()))
+
+
+def _filled(known: DataFrame, nulls: DataFrame, n: int) -> DataFrame:
+    """Rows with keys, and of those without as many as are missing to ``n``."""
+    return known.union(nulls.limit(max(0, n - known.count())))
 
 
 def skip_tail(df: DataFrame, key: str, skip: int = 1100, show: int = 5) -> DataFrame:

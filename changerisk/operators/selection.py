@@ -112,6 +112,29 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], probability: float)
     }
 
 
+def text_at(df: DataFrame, name: str, rank: int) -> str | None:
+    """The text at a 0-based rank of a string column in byte order, nulls ignored; None past the end.
+
+    Passes count rows per prefix, one character longer each time, and go on with the prefix that
+    holds the rank; only when few rows are left are they sorted.
+    """
+    rows = df.select(F.col(name).alias("text")).filter("text is not null")
+    length, left = 0, rank
+    while True:
+        length += 1
+        found = rows.groupBy(F.substring("text", 1, length).alias("prefix")).agg(F.count("*").alias("n"), F.max("text").alias("high"))
+        upto = F.sum("n").over(Window.orderBy("prefix"))  # one row for each next character
+        hit = found.withColumn("upto", upto).filter(F.col("upto") > left).orderBy("upto").first()
+        if hit is None:
+            return None
+        left -= hit["upto"] - hit["n"]
+        rows = rows.filter(F.substring("text", 1, length) == hit["prefix"])
+        if hit["high"] == hit["prefix"]:  # all of them are this one text
+            return hit["prefix"]
+        if hit["n"] <= _READ_ROWS:
+            return rows.orderBy("text").offset(left).first()["text"]
+
+
 def _at_most(columns: Sequence[Column], values: Sequence[object]) -> Column:
     """Lexicographic ``columns <= values``."""
     result = F.lit(True)

@@ -189,6 +189,23 @@ def test_subset_sizes(spark):
     assert sorted(r["k"] for r in sampling.skip_tail(df, "k").collect()) == list(range(1895, 1900))
 
 
+@pytest.mark.parametrize("few", [0, 5, 65_536])
+def test_head_of_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(selection, "_READ_ROWS", few)
+    texts = ["", "a", "ab", "aba", "abb", "b", "é", "é\u0301", "漢字", "😀", "zz" * 40, "zz" * 41] + [f"x{i:03d}" for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, None]], "k string")
+    ordered = sorted(texts, key=str.encode)
+    for n in (0, 1, 2, 3, 7, 40, len(texts), len(texts) + 1, len(texts) + 2, 500):
+        found = [r["k"] for r in sampling.head_sample(df, "k", n).collect()]
+        assert sorted((t for t in found if t is not None), key=str.encode) == ordered[:n] and len(found) == min(n, len(texts) + 2)
+    numbers = spark.createDataFrame([(5,), (1,), (None,), (3,), (None,)], "k int")
+    doubles = numbers.select(F.col("k").cast("double").alias("k"))
+    for table in (numbers, doubles):
+        sizes = [sampling.head_sample(table, "k", n).agg(F.count("*"), F.max("k")).first() for n in (0, 2, 3, 4, 9)]
+        assert [tuple(s) for s in sizes] == [(0, None), (2, 3), (3, 5), (4, 5), (5, 5)]
+    assert sampling.head_sample(df.limit(0), "k", 3).collect() == []
+
+
 def test_joins(spark):
     a = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1)], "project string, commit_id int")
     listed = spark.createDataFrame([("p", 1), ("p", 1)], "project string, commit_id int")
