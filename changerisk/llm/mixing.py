@@ -176,12 +176,17 @@ def mixture(
     return used, plan.drop("whole", "rest").withColumnRenamed("source", source)
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every row repeated as often as the mixture uses it; the columns stay.
+def mixed_documents(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options
+) -> DataFrame:
+    """``docs`` with every row repeated as often as the mixture uses it; the columns stay, whatever their names.
 
-    Copies are made by an array of their numbers, after one join of the counts by id.
+    Copies are made by an array of their numbers, after one join of the counts by id, source and
+    tokens: rows that share an id keep the counts of their own source.
     """
-    used, _ = mixture(docs, key=key, **options)
-    counts = used.select(F.col(key).alias("_key"), "copies").distinct()
-    joined = docs.join(counts, docs[key].eqNullSafe(F.col("_key")))
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*[docs[c] for c in docs.columns])
+    used, _ = mixture(docs, key=key, source=source, text=text, **options)
+    counts = used.select(F.struct(key, source, "tokens").alias("place"), "copies").distinct()
+    place = F.struct(F.col(key), F.col(source), token_count(text_or_empty(text)).alias("tokens"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), place.alias("own"))
+    joined = rows.join(counts, F.col("own").eqNullSafe(F.col("place")))
+    return joined.select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")

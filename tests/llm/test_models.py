@@ -62,6 +62,23 @@ def test_all_rows_are_candidates_of_a_small_table(spark, monkeypatch):
     assert [r["vec_id"] for r in by_query[200]][:4] == [201, 202, 203, 204]
 
 
+def test_ties_go_to_the_smaller_id(spark, monkeypatch):
+    """Vectors of one direction and quantised ones: far more equal cosines than are kept by a block."""
+    dice = np.random.default_rng(4)
+    line = [(i, [3.0 * 2 ** (i % 9), 4.0 * 2 ** (i % 9), 0.0, 0.0]) for i in dice.permutation(400).tolist()]
+    bits = [(i, (dice.integers(0, 2, 4) * 2.0 ** dice.integers(0, 5)).tolist()) for i in range(300)]
+    for block in (16, 8192):
+        monkeypatch.setattr(hash_forest, "BLOCK", block)
+        for rows in (line, bits):
+            found = HashForest(vectors(spark, rows), "vec_id", "embedding").search(F.col("id") % 20 == 0, share=1e9).collect()
+            expected = brute_nearest(rows)
+            answer = defaultdict(dict)
+            for row in found:
+                answer[row["query_id"]][row["rank"]] = row["vec_id"]
+            wanted = {i: [j for _, j in best] for i, best in expected.items() if i % 20 == 0}
+            assert {i: [by_rank[r] for r in sorted(by_rank)] for i, by_rank in answer.items()} == wanted
+
+
 def test_recall_on_random_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = table.select("vec_id", "embedding").collect()
@@ -197,6 +214,13 @@ def test_mixture(spark, docs, most):
         assert spent <= row["budget"]
 
 
+def test_ids_shared_by_sources_keep_their_own_counts(spark):
+    rows = [(i % 40, source, "w " * n) for source, n, count in (("big", 20, 100), ("small", 3, 20)) for i in range(count)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    used, _ = mixture(df, most=4.0)
+    assert mixed_documents(df, most=4.0).count() == used.agg(F.sum("copies")).first()[0]
+
+
 def test_empty_mixture(none):
     assert mixture(none)[0].collect() == [] and mixed_documents(none).collect() == []
 
@@ -219,9 +243,12 @@ def test_pipeline(spark):
 
 def test_stages_with_odd_rows(spark, docs, none):
     pipeline = importlib.import_module("corpus_pipeline")
+    names = ("score", "_raw", "_words", "_stats", "_gone", "gone", "row", "_key", "_copy", "copies", "tokens", "key", "n")
+    docs = docs.withColumns({name: F.lit(name) for name in names})
     for name, stage in pipeline.STAGES:
         assert stage(spark, none, SMALL).collect() == []
         after = stage(spark, docs, SMALL)
+        assert name == "encode" or all({r[c] for r in after.select(c).distinct().collect()} <= {c} for c in ("score", "copies"))
         assert name == "encode" or after.columns == docs.columns
         assert after.count() <= docs.count() * (4 if name == "mixture" else 1)
     kept = {r["doc_id"] for r in pipeline.drop_exact_copies(spark, docs, SMALL).collect()}
