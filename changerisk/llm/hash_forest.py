@@ -37,8 +37,8 @@ TREES, BITS, SEED = 18, 16, 42
 #: Candidates of a query, repeats in several trees included, as a share of all rows; and the least.
 SHARE, LEAST = 0.8, 1_000
 
-#: Rows of a block.
-BLOCK = 8_192
+#: Rows of a block, and what a product of matrices may be off by.
+BLOCK, MARGIN = 8_192, 1e-9
 
 
 def _planes(dimension: int, trees: int, bits: int) -> np.ndarray:
@@ -190,13 +190,26 @@ class HashForest:
                         chunk = group.iloc[start : start + 1024]
                         own = _tamed(_vectors(chunk["vec"], kind))
                         near = own @ unit[a:b].T
+                        names = chunk["node"].to_numpy()
+                        # Whatever may be among the best is scored: all rows that reach the last of them, ties included.
+                        last = min(most, b - a) - 1
+                        limit = -np.partition(-near, last, axis=1)[:, last, None] - MARGIN
                         keep = min(2 * most, b - a)
-                        picked = np.argpartition(-near, keep - 1, axis=1)[:, :keep] + a
-                        exact = cosines(np.repeat(own, keep, axis=0), vectors[picked.ravel()])
+                        tied = (near >= limit).sum(axis=1) > keep
+                        picked = np.argpartition(-near[~tied], keep - 1, axis=1)[:, :keep] + a
+                        exact = cosines(np.repeat(own[~tied], keep, axis=0), vectors[picked.ravel()])
                         found.append(
-                            pd.DataFrame({"query": np.repeat(chunk["node"].to_numpy(), keep), "node": nodes[picked.ravel()],
+                            pd.DataFrame({"query": np.repeat(names[~tied], keep), "node": nodes[picked.ravel()],
                                           "least": firsts[picked.ravel()], "score": exact})
                         )
+                        for i in np.flatnonzero(tied):
+                            reach = np.flatnonzero(near[i] >= limit[i]) + a
+                            exact = cosines(np.broadcast_to(own[i], (len(reach), own.shape[1])), vectors[reach])
+                            first = np.lexsort((firsts[reach], -exact))[:most]
+                            reach = reach[first]
+                            found.append(
+                                pd.DataFrame({"query": names[i], "node": nodes[reach], "least": firsts[reach], "score": exact[first]})
+                            )
             if not found:
                 return pd.DataFrame({"query": [], "node": [], "least": [], "score": []})
             best = pd.concat(found).sort_values(["query", "score", "least"], ascending=[True, False, True])
