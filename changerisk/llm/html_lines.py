@@ -65,6 +65,22 @@ _HINTS = frozenset(
     "replies reply respond share sharing sidebar signin signup skip social sponsor sponsored subscribe taboola toolbar "
     "widget".split()
 )
+#: Names of containers, as classes and ids write them, that are boilerplate also inside an article: a word of
+#: readers' comments, and words of adverts, notices and tools with a word for a box. Other hyphenated names
+#: that hold such words ("related-work", "has-comments") are the author's.
+_CONTAINERS = re.compile(
+    r"(?:comments?|repl(?:y|ies)|respond)(?:[-_](?:area|body|block|box|container|form|items?|list|section|threads?|wrap|wrapper))*"
+    r"|disqus(?:[-_][a-z]+)*"
+    r"|(?:ads?|adverts?|advertisements?|outbrain|promo|sponsored|sponsor|taboola)"
+    r"(?:[-_](?:banner|block|bottom|box|container|content|inner|label|side|slot|space|top|unit|wrap|wrapper|[0-9]+))+"
+    r"|(?:[a-z]+[-_])+(?:ads?|adverts?|advertisements?)"
+    r"|(?:consent|cookies?|gdpr|newsletter|paywall|signup|subscribe)"
+    r"[-_](?:banner|bar|block|box|consent|form|message|modal|notice|overlay|popup|prompt|signup|subscribe|wall|widget)"
+    r"|(?:share|sharing|social)[-_](?:bar|box|buttons?|icons?|links?|media|tools|widget)"
+    r"|related[-_](?:articles?|content|items|links?|news|posts?|stories)"
+)
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
 #: Words that mark boilerplate outside an article; inside they name the head of the article itself.
 _OUTSIDE = frozenset("header topbar".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -76,6 +92,11 @@ def _kind(tag: str, rest: str, inside_article: bool) -> int:
         return BOILERPLATE
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if "=" in rest else {}
     role = found.get("role", "").lower()
+    if inside_article and found and tag not in ("html", "body", "main"):
+        # Ids of headings are made from their words.
+        names = [*found.get("class", "").split(), *([] if tag in _HEADINGS else [found.get("id", "")])]
+        if any(_CONTAINERS.fullmatch(name.lower()) for name in names):
+            return BOILERPLATE
     if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
         return ARTICLE
     if found and tag not in ("html", "body"):

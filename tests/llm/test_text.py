@@ -60,6 +60,35 @@ def test_ids_made_from_headings_stay():
     assert [t for t, m in lines_of(page) if m == ARTICLE] == ["One", "Two", "Three", "Four"]
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="comments"><p>Gone</section>',
+        '<div id="disqus_thread">Gone</div>',
+        '<div class="comments-area">Gone</div>',
+        '<div class="wide ad-slot">Gone</div>',
+        '<aside-x class="x in-article-ad">Gone</aside-x>',
+        '<div class="newsletter-signup">Gone</div>',
+        '<div class="share-buttons">Gone</div>',
+        '<ul class="related-posts"><li>Gone</ul>',
+        '<div id="cookie-banner">Gone</div>',
+        '<article class="comment"><p>Gone</article>',
+        '<ol class="comment-list"><li><article><p>Gone</article></ol>',
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_containers_inside_articles_go(part, tag):
+    page = f"<{tag}><p>Text</p>{part}<p>End</p></{tag}>"
+    assert [t for t, m in lines_of(page) if m == ARTICLE] == ["Text", "End"]
+
+
+def test_words_of_the_author_stay_inside_articles():
+    parts = ['<section id="related-work">', '<section id="social-impact">', '<div class="ad-hoc">', '<p id="cookie-law">', '<div class="newsletter-history">',
+             '<div class="has-comments">', '<section id="comments-on-method">', '<h2 id="comments">', '<h3 id="share-buttons">', '<div class="shared-links-2">']
+    page = "<article>" + "".join(f"{part}{i}</{part[1:].split()[0]}>" for i, part in enumerate(parts)) + "</article>"
+    assert [t for t, m in lines_of(page) if m == ARTICLE] == [str(i) for i in range(len(parts))]
+
+
 @pytest.mark.parametrize(
     "page", [None, "", "<", "<p", "<!--", "<script>x", "a<b", "</p></div>", "<div" * 50, "&#xD800; &am &amp", "<p title='x>y<p>z", "\x00"]
 )
