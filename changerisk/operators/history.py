@@ -7,7 +7,7 @@ which turns the per-repository trackers into as-of totals per key. Lookups use t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,9 @@ from changerisk.operators.labels import label_initial
 from changerisk.operators.ordering import BLOCK_ROWS, newest_per_group, prior_in_key, with_position
 from changerisk.runtime import freeze
 
+#: Characters of a chunk of a diff.
+CHUNK_CHARS = 1 << 20
+
 COMMIT = ["project", "commit_id"]
 
 # Both sides of a join grow with the log: the "merge" hints keep Spark from broadcasting one of
@@ -303,6 +306,66 @@ def plain_diff_text(changes: DataFrame, key: Sequence[str] = ("commit_id",)) ->
     return joined_text(changes, list(key), ["ordinal", "new_path"], F.coalesce("patch", F.lit("")), "\n", "diff")
 
 
+def diff_chunks(
+    changes: DataFrame,
+    key: Sequence[str] = ("commit_id",),
+    suffixes: text.Suffixes | None = None,
+    *,
+    chunk_chars: int = CHUNK_CHARS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The diff text of a commit as rows (key, chunk, start, text), for commits of any size.
+
+    With ``suffixes`` the text of ``commit_diff_text``, else that of ``plain_diff_text``: chunks in
+    order are that text, and ``start`` is a chunk's place in it, in characters. Every file begins a
+    new chunk, which holds the separator before it, and has at least one. Files of equal ordinal
+    and path follow by the MD5 of their texts; changes with a null in the key are left out.
+
+    One sort over all files gives their order, and places are sums by blocks over their lengths, so
+    neither a commit of many files nor a long diff gathers in one task or cell.
+    """
+    key = list(key)
+    parts = changes.dropna(subset=key)
+    if suffixes is None:
+        parts, separator = parts.withColumn("_path", F.col("new_path")), "\n"
+        body = F.coalesce("patch", F.lit(""))
+    else:
+        path = text.changed_path(F.col("old_path"), F.col("new_path"))
+        parts, separator = parts.withColumn("_path", path).filter(text.file_is_relevant(F.col("_path"), suffixes)), "\n\n"
+        body = text.patch_text(F.col("_path"), F.col("patch"), F.col("source_code"))
+    parts = parts.select(*key, "ordinal", "_path", body.alias("_text")).withColumn("_tie", F.md5("_text"))
+    parts, span = with_position(parts, [F.col(c) for c in [*key, "ordinal", "_path", "_tie"]], "pos")
+
+    # Every file but the first has a separator before it; sums count one for each, so the first alone has sum 0.
+    narrow = parts.select(*key, "pos", (F.length("_text") + len(separator)).cast("bigint").alias("_width"))
+    narrow = prior_in_key(narrow, key, "_width", span=span, block_rows=block_rows).withColumnRenamed("prior_count", "_before")
+    later = F.col("_before") > 0
+    length = F.when(later, F.col("_width")).otherwise(F.col("_width") - len(separator))
+    narrow = narrow.withColumn("_chunks", F.greatest(F.ceil(length / chunk_chars), F.lit(1)).cast("bigint"))
+    narrow = prior_in_key(narrow, key, "_chunks", span=span, block_rows=block_rows)
+    places = narrow.select("pos", "_before", F.col("prior_count").alias("_chunk"))
+
+    whole = F.concat(F.when(later, F.lit(separator)).otherwise(""), "_text")
+    cut = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    cut = F.when(F.length(whole) == 0, F.array(F.lit(""))).otherwise(cut)
+    rows = parts.join(places.hint("merge"), "pos").select(*key, "_before", "_chunk", F.posexplode(cut).alias("_i", "text"))
+    first = F.greatest(F.col("_before") - len(separator), F.lit(0))
+    return rows.select(
+        *key,
+        (F.col("_chunk") + F.col("_i")).cast("bigint").alias("chunk"),
+        (first + F.col("_i").cast("bigint") * chunk_chars).cast("bigint").alias("start"),
+        "text",
+    )
+
+
+def read_chunks(chunks: DataFrame, **key) -> Iterator[str]:
+    """The chunks of one commit in order, a partition at a time: ``read_chunks(chunks, commit_id="a1")``."""
+    for name, value in key.items():
+        chunks = chunks.filter(F.col(name) == F.lit(value))
+    for row in chunks.orderBy("chunk").select("text").toLocalIterator():
+        yield row["text"]
+
+
 def joined_text(
     df: DataFrame, keys: list[str], order: list[str], part: Column, separator: str, name: str
 ) -> DataFrame:

@@ -6,7 +6,8 @@ from changerisk.fixed_values import FILES_PER_FIX
 from changerisk.functions import text
 from changerisk.functions.vectors import expand_embedding, vector_norm
 from changerisk.operators import clean, fusion, joins, labels, models, sampling
-from changerisk.operators.history import commit_diff_text, joined_text, recent_n_commits
+from changerisk.operators.blame import label_by_replay, replay_blame
+from changerisk.operators.history import commit_diff_text, diff_chunks, plain_diff_text, recent_n_commits
 from changerisk.operators.ordering import prior_in_key
 from changerisk.plans.catalog.registry import query
 from changerisk.plans.catalog.roles import (
@@ -176,6 +177,50 @@ def label_by_blame(t):
     return labelled.select("commit_id", "fix", "buggy")
 
 
+#: Each order adds lines on top of its suppliers' files, and every fifth ends them.
+REPLAYED = """
+    WITH touched AS (
+        SELECT l_suppkey AS file, l_orderkey AS commit_id, CAST(sum(l_quantity) AS BIGINT) AS added,
+               l_orderkey % 5 = 0 AS ended
+        FROM lineitem GROUP BY ALL),
+    spans AS (SELECT *, sum(CAST(ended AS INT)) OVER (PARTITION BY file ORDER BY commit_id) AS life FROM touched),
+    lives AS (SELECT *, CASE WHEN ended THEN life - 1 ELSE life END AS seen FROM spans),
+    owners AS (
+        SELECT a.file, a.commit_id, b.commit_id AS blamed, b.added AS lines
+        FROM lives a JOIN lives b ON a.file = b.file AND a.seen = b.life AND b.commit_id < a.commit_id AND NOT b.ended)"""
+
+
+def _patched_files(t):
+    file = F.concat(F.lit("part/"), F.col("l_suppkey").cast("string"), F.lit(".py"))
+    touched = t.lineitem.groupBy(file.alias("file"), F.col("l_orderkey").alias("commit_id")).agg(
+        F.sum("l_quantity").cast("bigint").alias("added")
+    )
+    added = F.col("added").cast("string")
+    patch = F.concat(F.lit("@@ -0,0 +1,"), added, F.lit(" @@"), F.repeat(F.lit("\n+x"), F.col("added").cast("int")))
+    return touched.select(
+        F.lit("p").alias("project"), "commit_id", F.col("commit_id").alias("seq"), F.lit(0).alias("ordinal"),
+        F.col("file").alias("old_path"), F.when(F.col("commit_id") % 5 != 0, F.col("file")).alias("new_path"),
+        F.when(F.col("commit_id") % 5 != 0, patch).alias("patch"), F.lit("").alias("source_code"),
+    )
+
+
+@query("replay_blame", REPLAYED + """
+    SELECT commit_id, 'part/' || CAST(file AS VARCHAR) || '.py' AS file_path, blamed, lines FROM owners""")
+def replayed(t):
+    return replay_blame(_patched_files(t)).drop("project")
+
+
+@query("label_by_replay", REPLAYED + """
+    SELECT o_orderkey AS commit_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS fix,
+           CASE WHEN o_orderkey IN (SELECT blamed FROM owners JOIN orders f ON f.o_orderkey = owners.commit_id
+                                    WHERE f.o_orderstatus = 'F') THEN 1 ELSE 0 END AS buggy
+    FROM orders""")
+def labels_of_replay(t):
+    message = F.when(F.col("o_orderstatus") == "F", "fix it").otherwise("add")
+    log = t.orders.select(F.lit("p").alias("project"), F.col("o_orderkey").alias("commit_id"), message.alias("message"))
+    return label_by_replay(log, _patched_files(t), SUFFIXES).select("commit_id", "fix", "buggy")
+
+
 @query("szz_label", HISTORY + """,
     touched AS (SELECT DISTINCT project, changed, commit_id, pos, message FROM paths WHERE counted),
     blamed AS (
@@ -276,10 +321,32 @@ def commit_diff(t):
     return commit_diff_text(history.changes, SUFFIXES).select("commit_id", "diff")
 
 
-@query("plain_diff_text", "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS diff_md5 FROM conversations GROUP BY conv_id")
+def _turns_as_changes(t):
+    return t.conversations.select(
+        "conv_id", F.col("turn").alias("ordinal"), F.col("role").alias("new_path"), F.col("text").alias("patch")
+    )
+
+
+@query("plain_diff_text", "SELECT conv_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, ''))) AS diff_md5 FROM conversations GROUP BY conv_id")
 def plain_diff(t):
-    joined = joined_text(t.conversations, ["conv_id"], ["turn"], F.coalesce("text", F.lit("")), "\n", "diff")
-    return joined.select("conv_id", F.md5("diff").alias("diff_md5"))
+    return plain_diff_text(_turns_as_changes(t), ["conv_id"]).select("conv_id", F.md5("diff").alias("diff_md5"))
+
+
+@query("diff_chunks", """
+    WITH parts AS (
+        SELECT conv_id, row_number() OVER turns AS n,
+               CASE WHEN row_number() OVER turns = 1 THEN '' ELSE chr(10) END || coalesce(text, '') AS part
+        FROM conversations WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(coalesce(text, '')))),
+    placed AS (
+        SELECT *, coalesce(sum(length(part)) OVER before, 0) AS first_char,
+               coalesce(sum(greatest(1, (length(part) + 99) // 100)) OVER before, 0) AS first_chunk
+        FROM parts WINDOW before AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    pieces AS (SELECT *, unnest(generate_series(0, greatest(1, (length(part) + 99) // 100) - 1)) AS i FROM placed)
+    SELECT conv_id, CAST(first_chunk + i AS BIGINT) AS chunk, CAST(first_char + 100 * i AS BIGINT) AS start,
+           substr(part, CAST(100 * i + 1 AS BIGINT), 100) AS text
+    FROM pieces""")
+def chunked_diff(t):
+    return diff_chunks(_turns_as_changes(t), ["conv_id"], chunk_chars=100)
 
 
 @query("embedding_input", """
