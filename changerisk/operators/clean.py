@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from changerisk.errors import require_columns
 from changerisk.operators.selection import quantiles
-from changerisk.runtime import freeze
+from changerisk.runtime import broadcast_if_small, freeze, is_small
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
@@ -47,7 +47,11 @@ def dedupe_by_key(
     columns, then by the values: a missing value never wins over a known one. Give an order column
     to have the first row of the input kept, as a table has no order of its own.
 
-    An aggregate, not a window: copies collapse before the shuffle, however many a key has.
+    Keys that occur once, and winners by ``order_by`` and known values, are found on narrow rows.
+    If there are few enough keys with several rows, these are broadcast: other rows stay where
+    they are, and only the rows that tie for a key are compared by their values. Else one
+    aggregate over whole rows does all, so that rows are shuffled once; copies collapse before the
+    shuffle, however many a key has. Both give the same rows.
     """
     require_columns(df, [key, *order_by, *prefer])
     rest = [c for c in df.columns if c != key and c not in order_by]
@@ -57,12 +61,29 @@ def dedupe_by_key(
 
     marks = [known_first(name).alias(f"_m{i}") for i, name in enumerate([*order_by, *prefer, *rest])]
     ordered, others = marks[: len(order_by)], marks[len(order_by) :]
-    row = F.struct(*[c for pair in zip(ordered, order_by) for c in pair], *others, *rest)
-    picked = F.max(row) if keep == "last" else F.min(row)
-    kept = df.groupBy(key).agg(picked.alias("_row"), *([] if keep else [F.count("*").alias("_n")]))
+    place = F.struct(*[c for pair in zip(ordered, order_by) for c in pair], *others)
+    best = F.max if keep == "last" else F.min
+
+    counted = df.groupBy(F.col(key).alias("_key")).agg(best(place).alias("_best"), F.count("*").alias("_n"))
+    shared = freeze(counted.filter("_n > 1").drop("_n"))
     if not keep:
-        kept = kept.filter("_n = 1")
-    return kept.select(*[F.col(c) if c == key else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+        return df.join(broadcast_if_small(shared.select("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    if not is_small(shared.select("_key", "_best.*")):
+        return _winners(df, key, best, place, rest)
+    known = F.broadcast(shared)
+    alone = df.join(known, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    tied = df.join(known, F.col(key).eqNullSafe(F.col("_key")) & place.eqNullSafe(F.col("_best"))).select(*df.columns)
+    return alone.unionByName(_winners(tied, key, best, place, rest))
+
+
+def _winners(df: DataFrame, key: str, best: Callable[[Column], Column], place: Column, rest: Sequence[str]) -> DataFrame:
+    """One row per key: the best by place, then by the values of ``rest``."""
+    kept = df.groupBy(key).agg(best(F.struct(place.alias("_place"), *rest)).alias("_row"))
+
+    def value(name: str) -> Column:
+        return F.col(f"_row.`{name}`") if name in rest else F.col(f"_row._place.`{name}`")
+
+    return kept.select(*[F.col(c) if c == key else value(c).alias(c) for c in df.columns])
 
 
 def select_features(df: DataFrame, features: Sequence[str], target: str = "buggy", keep: Sequence[str] = ()) -> DataFrame:

@@ -58,10 +58,15 @@ def _width(frozen: DataFrame):
     return width
 
 
+def is_small(frozen: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a frozen table has few enough rows and bytes to be broadcast."""
+    size = frozen.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(_width(frozen)), F.lit(0))).first()
+    return size[0] <= max_rows and size[1] <= max_bytes
+
+
 def broadcast_if_small(frozen: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint for a frozen table of few rows and bytes; a shuffle join otherwise."""
-    size = frozen.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(_width(frozen)), F.lit(0))).first()
-    return F.broadcast(frozen) if size[0] <= max_rows and size[1] <= max_bytes else frozen
+    return F.broadcast(frozen) if is_small(frozen, max_rows, max_bytes) else frozen
 
 
 def _file_system(spark: SparkSession, path: str):

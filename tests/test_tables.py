@@ -102,6 +102,27 @@ def test_years_are_utc_in_any_session(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+@pytest.mark.parametrize("keep", ["first", "last", False])
+def test_both_ways_of_dedupe_agree(spark, monkeypatch, keep):
+    dice = random.Random(8)
+    pick = lambda *values: dice.choice(values)
+    rows = [
+        (pick(None, *range(12), *range(100, 400)), pick(None, 1, 2), pick(None, float("nan"), 0.5), pick(None, "x", "y"), pick(None, "m" * 99, "n"))
+        for _ in range(900)
+    ]
+    df = spark.createDataFrame(rows, "id int, o int, x double, buggy string, message string").repartition(6)
+    narrow = clean.dedupe_by_key(df, "id", ["o"], keep, prefer=["buggy"])
+    monkeypatch.setattr(clean, "is_small", lambda frozen: False)
+    monkeypatch.setattr(clean, "broadcast_if_small", lambda frozen: frozen)
+    whole = clean.dedupe_by_key(df, "id", ["o"], keep, prefer=["buggy"])
+    assert sorted(map(repr, narrow.collect())) == sorted(map(repr, whole.collect()))
+    assert narrow.columns == df.columns and narrow.count() == len({r[0] for r in rows if keep or [q[0] for q in rows].count(r[0]) == 1})
+    # Rows that share no key go through broadcast joins alone.
+    single = df.dropDuplicates(["id"])
+    assert clean.dedupe_by_key(single, "id", ["o"], keep).count() == single.count()
+    assert clean.dedupe_by_key(df.limit(0), "id", ["o"], keep).collect() == []
+
+
 def test_select_features(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, buggy int")
     assert clean.select_features(df, ["b"], keep=["a"]).columns == ["a", "b", "buggy"]
