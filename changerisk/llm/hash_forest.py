@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine with a forest of hash prefixes.
 
 Each tree gives a vector a hash string: the signs of ``BITS`` random projections. A tree is the
-sorted array of its strings, cut into blocks that tasks hold. A query descends every tree to the
+sorted array of its strings; a block of rows holds its part of every tree. A query descends every tree to the
 longest prefix that any row shares with it and then ascends all trees together, one bit at a time,
 until its candidates number ``share`` of all rows (at least ``LEAST``): the rows that share a prefix
 of that length in some tree. Candidates are scored in double precision on the original vectors.
@@ -10,9 +10,11 @@ What makes this distributed:
 
 * equal vectors are one node with its six smallest ids; more can never be among five neighbours
 * a directory counts rows by tree and string (at most TREES * 2**BITS numbers, 5 MB): with it a
-  query knows how far to ascend, and so which blocks it needs, before any vector moves
-* blocks are prefixes of about ``BLOCK`` rows; one that holds more is split by a hash of the rows,
-  and its queries visit all parts
+  query knows how far to ascend before any vector moves
+* a row moves once, with its strings, to one block of at most about ``BLOCK`` rows, which sorts them
+  by tree; a row found in several trees is scored once
+* queries come to the blocks in groups of at most about ``BLOCK``, so a task's memory is bounded; rows
+  move once for each group
 * a block returns the best six for each of its queries, so what is merged does not grow with it
 
 How many candidates are needed depends on the data: isotropic random vectors, where the nearest
@@ -37,8 +39,9 @@ TREES, BITS, SEED = 18, 16, 42
 #: Candidates of a query, repeats in several trees included, as a share of all rows; and the least.
 SHARE, LEAST = 0.8, 1_000
 
-#: Rows of a block, and what a product of matrices may be off by.
-BLOCK, MARGIN = 8_192, 1e-9
+#: Rows of a block and queries of a group at most, blocks of a small table, queries of one product of
+#: matrices, and what such a product may be off by.
+BLOCK, SPREAD, TOGETHER, MARGIN = 16_384, 64, 256, 1e-9
 
 
 def _planes(dimension: int, trees: int, bits: int) -> np.ndarray:
@@ -134,25 +137,10 @@ class HashForest:
         trees, kind, most, counts = self.trees, self.kind, self.most, self.counts
         total = int(counts[0].sum())
         wanted = max(least, int(share * total))
-        prefix = min(BITS, max(0, int(np.ceil(np.log2(max(total, 1) / BLOCK)))))
-        parts = np.ceil(counts.reshape(trees, 1 << prefix, -1).sum(axis=2) / BLOCK).astype("int64")
-        shared = self.spark.sparkContext.broadcast((counts, parts))
-        block = "tree int, unit int, part int"
-
-        def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            _, parts = shared.value
-            for batch in batches:
-                strings = np.array(batch["strings"].tolist(), "int64").reshape(len(batch), trees)
-                units = strings >> (BITS - prefix)
-                for tree in range(trees):
-                    split = np.maximum(parts[tree][units[:, tree]], 1)
-                    yield pd.DataFrame(
-                        {"tree": tree, "unit": units[:, tree], "part": batch["node"].to_numpy() % split, "string": strings[:, tree],
-                         "node": batch["node"], "least": batch["least"], "vec": batch["vec"]}
-                    )
+        shared = self.spark.sparkContext.broadcast(counts)
 
         def ascend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts, parts = shared.value
+            counts = shared.value
             levels = [counts.reshape(trees, 1 << level, -1).sum(axis=2) for level in range(BITS + 1)]
             for batch in batches:
                 if not len(batch):
@@ -164,64 +152,66 @@ class HashForest:
                     here = strings >> (BITS - length)
                     found = sum(levels[length][tree][here[:, tree]] for tree in range(trees))
                     level = np.where((level == 0) & (found >= wanted), length, level)
-                low = (strings >> (BITS - level)[:, None]) << (BITS - level)[:, None]
-                high = low + (1 << (BITS - level))[:, None]
-                for i, (node, vec) in enumerate(zip(batch["node"], batch["vec"])):
-                    places = [
-                        (tree, unit, part, low[i, tree], high[i, tree])
-                        for tree in range(trees)
-                        for unit in range(low[i, tree] >> (BITS - prefix), ((high[i, tree] - 1) >> (BITS - prefix)) + 1)
-                        for part in range(parts[tree][unit])
-                    ]
-                    yield pd.DataFrame(places, columns=["tree", "unit", "part", "low", "high"]).assign(node=node, vec=vec)
+                yield pd.DataFrame({"node": batch["node"], "vec": batch["vec"], "strings": batch["strings"], "level": level})
 
         def score(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             found = []
             if len(rows) and len(queries):
-                rows = rows.sort_values("string", kind="stable")
-                strings, vectors = rows["string"].to_numpy(), _tamed(_vectors(rows["vec"], kind))
+                strings, vectors = np.array(rows["strings"].tolist(), "int64"), _tamed(_vectors(rows["vec"], kind))
+                order = np.argsort(strings, axis=0, kind="stable")
+                arrays = np.take_along_axis(strings, order, axis=0)
                 nodes, firsts = rows["node"].to_numpy(), rows["least"].to_numpy()
                 unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-                for (low, high), group in queries.groupby(["low", "high"]):
-                    a, b = np.searchsorted(strings, [low, high])
-                    if a == b:
-                        continue
-                    for start in range(0, len(group), 1024):
-                        chunk = group.iloc[start : start + 1024]
-                        own = _tamed(_vectors(chunk["vec"], kind))
-                        near = own @ unit[a:b].T
-                        names = chunk["node"].to_numpy()
-                        # Whatever may be among the best is scored: all rows that reach the last of them, ties included.
-                        last = min(most, b - a) - 1
-                        limit = -np.partition(-near, last, axis=1)[:, last, None] - MARGIN
-                        keep = min(2 * most, b - a)
-                        tied = (near >= limit).sum(axis=1) > keep
-                        picked = np.argpartition(-near[~tied], keep - 1, axis=1)[:, :keep] + a
-                        exact = cosines(np.repeat(own[~tied], keep, axis=0), vectors[picked.ravel()])
+                for start in range(0, len(queries), TOGETHER):
+                    chunk = queries.iloc[start : start + TOGETHER]
+                    own, names = _tamed(_vectors(chunk["vec"], kind)), chunk["node"].to_numpy()
+                    asked, rest = np.array(chunk["strings"].tolist(), "int64"), (BITS - chunk["level"].to_numpy())[:, None]
+                    low = (asked >> rest) << rest
+                    high = low + (1 << rest)
+                    candidate = np.zeros((len(chunk), len(rows)), bool)
+                    for tree in range(trees):
+                        begin = np.searchsorted(arrays[:, tree], low[:, tree])
+                        end = np.searchsorted(arrays[:, tree], high[:, tree])
+                        for i in np.flatnonzero(end > begin):
+                            candidate[i, order[begin[i] : end[i], tree]] = True
+                    size = np.sqrt((own * own).sum(axis=1, keepdims=True))
+                    near = np.where(candidate, (own / size) @ unit.T, -np.inf)
+                    # Whatever may be among the best is scored: all rows that reach the last of them, ties included.
+                    last = min(most, len(rows)) - 1
+                    limit = -np.partition(-near, last, axis=1)[:, last, None] - MARGIN
+                    reach = candidate & (near >= limit)
+                    tied = reach.sum(axis=1) > 2 * most
+                    which, at = np.nonzero(reach & ~tied[:, None])
+                    exact = cosines(own[which], vectors[at])
+                    found.append(pd.DataFrame({"query": names[which], "node": nodes[at], "least": firsts[at], "score": exact}))
+                    for i in np.flatnonzero(tied):
+                        at = np.flatnonzero(reach[i])
+                        exact = cosines(np.broadcast_to(own[i], (len(at), own.shape[1])), vectors[at])
+                        first = np.lexsort((firsts[at], -exact))[:most]
                         found.append(
-                            pd.DataFrame({"query": np.repeat(names[~tied], keep), "node": nodes[picked.ravel()],
-                                          "least": firsts[picked.ravel()], "score": exact})
-                        )
-                        for i in np.flatnonzero(tied):
-                            reach = np.flatnonzero(near[i] >= limit[i]) + a
-                            exact = cosines(np.broadcast_to(own[i], (len(reach), own.shape[1])), vectors[reach])
-                            first = np.lexsort((firsts[reach], -exact))[:most]
-                            reach = reach[first]
-                            found.append(
-                                pd.DataFrame({"query": names[i], "node": nodes[reach], "least": firsts[reach], "score": exact[first]})
-                            )
+                            pd.DataFrame({"query": names[i], "node": nodes[at[first]], "least": firsts[at[first]], "score": exact[first]})
+                        )
             if not found:
                 return pd.DataFrame({"query": [], "node": [], "least": [], "score": []})
             best = pd.concat(found).sort_values(["query", "score", "least"], ascending=[True, False, True])
             return best.groupby("query").head(most)
 
-        rows = self.nodes.select("node", F.col("ids")[0].alias("least"), "strings", "vec")
-        index = rows.mapInPandas(to_blocks, f"{block}, string int, node bigint, least bigint, vec binary")
         asking = self.rows.filter(chosen).select(F.col("id").alias("query_id"), "vec")
         asked = self.nodes.join(asking.select("vec").distinct(), "vec", "left_semi").select("node", "strings", "vec")
-        visits = asked.mapInPandas(ascend, f"{block}, low int, high int, node bigint, vec binary")
-        keys = ["tree", "unit", "part"]
-        scored = index.groupBy(*keys).cogroup(visits.groupBy(*keys))
+        asked = freeze(asked.mapInPandas(ascend, "node bigint, vec binary, strings array<int>, level bigint"))
+        blocks = -(-total // min(BLOCK, max(LEAST, total // SPREAD))) or 1
+        groups = -(-asked.count() // BLOCK) or 1
+
+        def every(n: int, name: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+        # A row is in one block, with its strings in all trees; queries come in groups, so no task has all of either.
+        block, group = F.pmod("node", F.lit(blocks)).cast("int"), F.pmod("node", F.lit(groups)).cast("int")
+        rows = self.nodes.select(
+            block.alias("block"), every(groups, "group"), "node", F.col("ids")[0].alias("least"), "strings", "vec"
+        )
+        visits = asked.select(every(blocks, "block"), group.alias("group"), "node", "vec", "strings", "level")
+        scored = rows.groupBy("block", "group").cogroup(visits.groupBy("block", "group"))
         scored = scored.applyInPandas(score, "query bigint, node bigint, least bigint, score double")
 
         pairs = scored.groupBy("query", "node", "least").agg(F.max("score").alias("score"))
