@@ -38,6 +38,20 @@ TEMPLATES = {
     "this work is licensed under a creative commons attribution": "cc-by",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "apache",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license": "agpl",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib",
+    "distributed under the boost software license version 1 0": "bsl",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights": "cc0",
+    "subject to the terms of the common development and distribution license": "cddl",
+    "you can redistribute it under the terms of the artistic license": "artistic",
 }
 
 #: Characters that separate words once A-Z are small; all others make words.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from changerisk.llm.chat import conversation_digests, format_conversations, read_conversation
 from changerisk.llm.html_lines import ARTICLE, BOILERPLATE, UNDECIDED, lines_of
-from changerisk.llm.licenses import BASE_PHRASES, license_report, license_scan
+from changerisk.llm.licenses import BASE_PHRASES, TEMPLATES, license_report, license_scan
 from changerisk.llm.page_diff import common_lines, page_texts
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head>
@@ -194,6 +194,21 @@ def test_spans_survive_changed_words_and_make_labels(spark):
     assert (found[5]["n_words"], found[5]["n_base"], found[5]["score"]) == (0, 0, 0.0)
 
 
+def test_notices_of_further_licenses(spark):
+    """Each template as a notice among other words, with a word missing, and its nearest relative not in the labels."""
+    texts, expected = [], {}
+    for number, (phrase, label) in enumerate(TEMPLATES.items()):
+        words = phrase.split()
+        near = words[:3] + words[4:] if len(words) > 9 else words
+        texts += [(2 * number, f"Foo, bar: {phrase.upper()}. Baz"), (2 * number + 1, " ".join(["a", *near, "b"]))]
+        expected[2 * number] = expected[2 * number + 1] = label
+    found = {r["doc_id"]: set(r["labels"].split(",")) - set(r["base_labels"].split(",")) or set(r["labels"].split(","))
+             for r in license_report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert {i: labels for i, labels in found.items() if expected[i] not in labels} == {}
+    assert found[2 * list(TEMPLATES.values()).index("lgpl")] == {"lgpl"}
+    assert found[2 * list(TEMPLATES.values()).index("agpl")] == {"agpl"}
+
+
 def test_licenses_of_an_empty_table(none):
     assert license_report(none).collect() == []
 
