@@ -10,7 +10,7 @@ from changerisk.streaming import incremental
 
 
 def stream(t, name):
-    return incremental.file_stream(t.spark, t.folder, getattr(t, name).schema, f"{name}.parquet")
+    return incremental.table_stream(t.spark, t.path(name), getattr(t, name).schema)
 
 
 @query("incremental_pca_transform", _LENGTHS)

@@ -299,3 +299,17 @@ def test_null_keys_and_odd_columns(spark, tmp_path):
         incremental.incremental_append(stream, output, str(tmp_path / progress), "key", order_by=["kind"])
     found = [tuple(r) for r in spark.read.parquet(output).select("key", "kind", "row").collect()]
     assert sorted(found, key=str) == [(1, 1, "c"), (None, 1, "b")]
+
+
+def test_table_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    """A large table is a folder of files under the name that a small one has as a file."""
+    folder, file = tmp_path / "a" / "rows.parquet", tmp_path / "b" / "rows.parquet"
+    spark.range(100).repartition(3).write.parquet(str(folder))
+    spark.range(900, 905).write.parquet(str(tmp_path / "a" / "others.parquet"))
+    file.parent.mkdir()
+    spark.range(100).toPandas().to_parquet(file)
+    for path in (folder, file):
+        output = str(tmp_path / f"out-{path.parent.name}")
+        stream = incremental.table_stream(spark, str(path), "id bigint")
+        incremental.run_available(stream, output, str(tmp_path / f"progress-{path.parent.name}"))
+        assert sorted(r["id"] for r in spark.read.parquet(output).collect()) == list(range(100))
