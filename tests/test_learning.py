@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from changerisk.errors import ChangeRiskError
-from changerisk.operators import embedding, fusion, metrics, models, pca, vectors
+from changerisk.operators import embedding, fusion, metrics, models, pca, selection, vectors
 from changerisk.plans.experiment import run_experiment
 from changerisk.runtime import remove_path
 from changerisk.streaming import incremental
@@ -313,3 +313,34 @@ def test_table_stream_reads_a_file_and_a_folder(spark, tmp_path):
         stream = incremental.table_stream(spark, str(path), "id bigint")
         incremental.run_available(stream, output, str(tmp_path / f"progress-{path.parent.name}"))
         assert sorted(r["id"] for r in spark.read.parquet(output).collect()) == list(range(100))
+
+
+@pytest.mark.parametrize("name, most", [("random_forest", 12 * models.DRAWS), ("boosted_trees", 12)])
+def test_training_costs_no_more_than_its_different_rows(spark, monkeypatch, name, most):
+    rows = spark.range(6000).selectExpr("cast(id % 4 as double) as a", "array(cast(id % 3 as double), 0D) as v", "cast(id % 4 > 1 as int) as buggy")
+    kind = type(models.model_factory(name))
+    seen, fit = [], kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, df: (seen.append((df.count(), df.agg(F.sum("_weight")).first()[0])), fit(self, df))[1])
+    options = {"random_forest": {"num_trees": 3, "max_depth": 3}, "boosted_trees": {"rounds": 3}}[name]
+    model = models.train(name, rows, ["a", "v"], weight=F.when(F.col("buggy") == 1, 2.0).otherwise(1.0), **options)
+    assert seen[0][0] <= most and seen[0][1] == pytest.approx(9000)
+    scored = models.predictions(model, rows.withColumn("commit_id", F.lit(1)), ["a", "v"], ["commit_id"])
+    assert scored.filter("y_true <> y_pred").count() == 0
+    models.train(name, rows, ["a", "v"], minInstancesPerNode=2, **options)
+    assert seen[1][0] == 6000  # rows are counted, so each is needed
+
+
+def test_merged_rows_keep_every_row_where_few_are_equal(spark):
+    rows = spark.range(1000).selectExpr("cast(id % 600 as double) as a", "1D as w")
+    assert models.merged_rows(rows, "w").count() == 1000
+    merged = models.merged_rows(rows.union(rows).union(rows), "w")
+    assert merged.count() == 600 and merged.agg(F.sum("w")).first()[0] == 3000
+
+
+def test_whole_numbers_far_apart_are_ranked_exactly(spark):
+    for low, high in ((-(2**63), 2**63 - 1), (0, 2**62 - 1), (5, 5)):
+        values = sorted({low, (low + high) // 2, high})
+        df = spark.createDataFrame([(v,) for v in values], "v bigint")
+        for rank, value in enumerate(values):
+            found = selection.ranked_values(df, {"v": (F.col("v"), rank)}, {"v": (low, high)}, exact=True)["v"]
+            assert (found.value, found.below, found.equal) == (value, rank, 1)
