@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from changerisk.operators import models
+from changerisk.operators import leafwise, models
 from changerisk.operators.leafwise import Growth, LeafwiseBoosting, LeafwiseModel, bin_edges
 
 
@@ -68,6 +68,20 @@ def test_trees_equal_the_plain_ones(spark, growth):
     assert sum(model.featureImportances.toArray()) == pytest.approx(1)
 
 
+def test_equal_rows_are_one(spark, monkeypatch):
+    """A tree asks about each different row once; rows are counted as many as they are."""
+    growth = Growth(3, 0.5, 5, 64, 30)
+    x = np.array([[i % 7, i % 3] for i in range(840)], "f8")
+    y = (((x[:, 0] > 3) | (x[:, 1] > 1)) ^ (np.arange(840) % 5 == 0)).astype("f8")
+    rows = [([float(v) for v in a], float(b)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "f array<double>, label double").withColumn("features", array_to_vector("f"))
+    asked, best = [], leafwise.best_splits
+    monkeypatch.setattr(leafwise, "best_splits", lambda rows, growth: (asked.append(rows.count()), best(rows, growth))[1])
+    model = LeafwiseBoosting(**growth.__dict__).fit(df)
+    found = [sorted((f, t, round(g, 6)) for f, t, g in zip(tree.feature, tree.threshold, tree.gain) if f >= 0) for tree in model.trees]
+    assert found == plain_boost(x, y, np.ones(840), growth)[1] and max(asked) <= 42
+
+
 def test_odd_tables(spark, tmp_path):
     schema = "f array<double>, label double"
     one_kind = spark.createDataFrame([([1.0], 1.0)] * 30, schema).withColumn("features", array_to_vector("f"))
