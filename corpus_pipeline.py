@@ -10,6 +10,7 @@ more columns, of any names; they are kept as they are.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 
 from changerisk.llm.byte_bpe import ByteBpe
 from changerisk.llm.common import read_table
+from changerisk.llm.components import components
 from changerisk.llm.exact_dedup import duplicate_groups
 from changerisk.llm.mixing import mixed_documents
 from changerisk.llm.near_copies import near_copy_groups
 from changerisk.llm.rule_ensemble import fit_quality, score_quality
-from changerisk.runtime import scratch_path
+from changerisk.llm.simhash import near_duplicate_groups
+from changerisk.runtime import freeze, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,9 +57,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by five-word shingles: the one with the smallest id."""
-    groups = near_copy_groups(docs)
-    return _without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each group of near copies: the one with the smallest id.
+
+    Links are those of SimHash, at two or fewer bits, and those of similar sets of five-word shingles;
+    groups are the components of both together.
+    """
+    parts = [near_duplicate_groups(docs), near_copy_groups(docs)]
+    links = freeze(reduce(DataFrame.union, [part.select("doc_id", "component_id") for part in parts]))
+    groups = components(links.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    later = groups.filter("node <> root").select(F.col("node").alias("doc_id"))
+    unnamed = links.filter("doc_id is null and component_id is not null").select("doc_id")
+    return _without(docs, later.union(unnamed))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
