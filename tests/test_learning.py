@@ -215,6 +215,23 @@ def test_experiment_fills_joined_sources_and_counts_lost_rows(spark):
     assert outcome.lost_rows == 5 and outcome.wide.count() == 15
 
 
+def test_experiment_makes_only_wanted_sources_for_the_commits_that_tables_have(spark):
+    rows = [(f"c{i:03d}", "p", dt.datetime(2019, 1, 1) + dt.timedelta(hours=i), i % 2) for i in range(100)]
+    commits = spark.createDataFrame(rows, "commit_id string, project string, author_date timestamp, buggy int")
+    table = spark.createDataFrame([(f"c{i:03d}", [float(i % 2), 1.0]) for i in range(90)], "commit_id string, embedding array<double>")
+    made = []
+
+    def metrics_of(asked):
+        made.append({r["commit_id"] for r in asked.collect()})
+        return asked.selectExpr("commit_id", "1.0D AS la")
+
+    sources = {"metrics": (metrics_of, ["la"]), "vectors": (table, ["embedding"])}
+    params = {"random_forest": {"num_trees": 5, "max_depth": 4}, "boosted_trees": {"rounds": 2, "max_depth": 2}}
+    assert run_experiment(2, commits, sources, params=params).wide.count() == 10 and made == []
+    assert run_experiment(4, commits, sources, params=params).lost_rows == 10
+    assert made == [{f"c{i:03d}" for i in range(90)}]
+
+
 def test_incremental_append_resumes(spark, tmp_path):
     source, output, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
     spark.range(0, 10).union(spark.range(5, 10)).withColumnRenamed("id", "commit_id").write.parquet(source)
