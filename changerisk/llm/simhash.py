@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from changerisk.llm.components import components
 from changerisk.llm.common import text_or_empty
-from changerisk.runtime import freeze
+from changerisk.runtime import broadcast_if_small, freeze
 
 SEED = 42
 BITS = 64
@@ -95,7 +95,7 @@ def links(nodes: DataFrame) -> DataFrame:
     pairs = entries.filter("n = 2").select("a", "b").distinct()
     pairs = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
-    crowded = entries.filter("n > 2").select("slot", "rest")
+    crowded = broadcast_if_small(entries.filter("n > 2").select("slot", "rest"))
     members = variants.join(crowded, ["slot", "rest"], "left_semi").select("bits").distinct()
     around = F.array(F.col("bits"), *[F.col("bits").bitwiseXOR(F.lit(_signed(1 << bit))) for bit in range(BITS)])
     reached = members.select("bits", F.explode(around).alias("word"))

@@ -10,6 +10,7 @@ import xxhash
 
 from brute import brute_near_copies
 
+from changerisk.llm import components as components_module
 from changerisk.llm import exact_dedup, near_copies, simhash
 from changerisk.llm.components import components
 from changerisk.llm.exact_dedup import duplicate_groups
@@ -133,6 +134,29 @@ def test_components_of_odd_links(spark):
     assert {tuple(r) for r in components(df).collect()} == {(x, 1) for x in (1, 2, 6, 7, 8, 9)} | {(20, 20), (21, 20)}
 
 
+def test_rounds_over_few_links_take_few_tasks(spark, monkeypatch):
+    """Whatever the session's partitions: each task of an exchange leaves files."""
+    tasks, freeze = [], components_module.freeze
+
+    def counted(df):
+        done = freeze(df)
+        tasks.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(components_module, "freeze", counted)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for name, value in zip(old, ("40", "false")):
+        spark.conf.set(name, value)
+    try:
+        chains = spark.range(200).selectExpr("id as a", "if(id % 20 = 19, id, id + 1) as b")
+        found = {r["node"]: r["root"] for r in components(chains).collect()}
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert found == {i: i - i % 20 for i in range(200)}
+    assert len(tasks) > 2 and max(tasks[1:]) <= components_module._TASKS
+
+
 def test_empty_tables(none):
     assert duplicate_groups(none).collect() == [] and near_duplicate_groups(none).collect() == []
 
