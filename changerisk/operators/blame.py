@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -17,7 +16,11 @@ from changerisk.functions import text
 from changerisk.operators.labels import label_fix, szz_candidates, szz_label
 from changerisk.runtime import freeze
 
-_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,(\d+))? @@")
+_HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,(\d+))? @@", re.MULTILINE)
+#: Runs of lines of a hunk: added, dropped, notes on line ends, unchanged. A line with "@" is a run of its own.
+_LINES = re.compile(
+    r"((?:\+[^\n]*+\n?+)++)|((?:-[^\n]*+\n?+)++)|((?:\\[^\n]*+\n?+)++)|@[^\n]*+\n?+|(?:\n|[^@+\-\\\n][^\n]*+\n?+)++"
+)
 #: Rows of a result batch.
 _BATCH = 8192
 
@@ -26,67 +29,75 @@ Run = tuple[int, str | None]
 
 def patch_edits(patch: str | None) -> list[int]:
     """Edits of a unified diff as triples: old lines before it, lines dropped, lines added."""
-    edits: list[list[int]] = []
-    old = old_left = new_left = 0
-    open_edit = False
-    for line in (patch or "").split("\n"):
-        if old_left <= 0 and new_left <= 0:
-            hunk = _HUNK.match(line)
-            if hunk:
-                old_left, new_left = (1 if g is None else int(g) for g in hunk.group(2, 3))
-                old = int(hunk.group(1)) - (1 if old_left else 0)
-                open_edit = False
-            continue
-        sign = line[:1]
-        if sign == "\\":
-            continue
-        if sign not in ("+", "-"):
-            old, old_left, new_left, open_edit = old + 1, old_left - 1, new_left - 1, False
-            continue
-        if not open_edit:
-            edits.append([old, 0, 0])
-            open_edit = True
-        if sign == "-":
-            edits[-1][1] += 1
-            old, old_left = old + 1, old_left - 1
-        else:
-            edits[-1][2] += 1
-            new_left -= 1
-    return [number for edit in edits for number in edit]
+    patch, numbers, place = patch or "", [], 0
+    while hunk := _HUNK.search(patch, place):
+        old_left, new_left = (1 if g is None else int(g) for g in hunk.group(2, 3))
+        old = int(hunk.group(1)) - (1 if old_left else 0)
+        open_edit = False
+        place = patch.find("\n", hunk.end()) + 1
+        while place and place < len(patch) and (old_left > 0 or new_left > 0):
+            run = _LINES.match(patch, place)
+            place, kind = run.end(), run.lastindex
+            if kind == 3:
+                continue
+            lines = patch.count("\n", run.start(), place) + (patch[place - 1] != "\n")
+            if kind is None:
+                lines = min(lines, max(old_left, new_left))
+                old, old_left, new_left, open_edit = old + lines, old_left - lines, new_left - lines, False
+                continue
+            if not open_edit:
+                numbers += [old, 0, 0]
+                open_edit = True
+            # The hunk ends with its last line, whatever follows.
+            if kind == 1:
+                lines = lines if old_left > 0 else min(lines, new_left)
+                numbers[-1] += lines
+                new_left -= lines
+            else:
+                lines = lines if new_left > 0 else min(lines, old_left)
+                numbers[-2] += lines
+                old, old_left = old + lines, old_left - lines
+        if not place:
+            break
+    return numbers
 
 
 def edited(runs: Sequence[Run], edits: Sequence[int], owner: str) -> list[Run]:
-    """Runs (lines, owner) of a file after an owner's edits. Lines older than the table have no owner."""
-    rest, done, place = list(reversed(runs)), [], 0
-
-    def put(count: int, who: str | None) -> None:
-        if count and done and done[-1][1] == who:
-            done[-1] = (done[-1][0] + count, who)
-        elif count:
-            done.append((count, who))
-
-    def take(count: int, keep: bool) -> None:
-        while count > 0 and rest:
-            length, who = rest.pop()
-            used = min(length, count)
-            if used < length:
-                rest.append((length - used, who))
-            if keep:
-                put(used, who)
-            count -= used
-        if keep and count > 0:
-            put(count, None)
+    """Runs (lines, owner) of a file after an owner's edits. Lines older than the table have no owner.
 
+    Neighbouring runs have different owners. Runs behind the last edit are taken over as they are.
+    """
+    done: list[Run] = []
+    place = at_run = used = 0  # old lines passed, the run they end in, and lines passed of it
+    last = len(runs)
     for at, drop, add in zip(edits[::3], edits[1::3], edits[2::3]):
-        take(at - place, True)
-        take(drop, False)
-        put(add, owner)
+        for count, keep in ((at - place, True), (drop, False)):
+            while count > 0 and at_run < last:
+                length, who = runs[at_run]
+                taken = min(length - used, count)
+                if keep:
+                    _put(done, taken, who)
+                count, used = count - taken, used + taken
+                if used == length:
+                    at_run, used = at_run + 1, 0
+            if keep and count > 0:
+                _put(done, count, None)
+        _put(done, add, owner)
         place = at + drop
-    for count, who in reversed(rest):
-        put(count, who)
+    if at_run < last:
+        length, who = runs[at_run]
+        _put(done, length - used, who)
+        done += runs[at_run + 1 :]
     return done
 
 
+def _put(done: list[Run], count: int, who: str | None) -> None:
+    if count > 0 and done and done[-1][1] == who:
+        done[-1] = (done[-1][0] + count, who)
+    elif count > 0:
+        done.append((count, who))
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _edits(patches: pd.Series) -> pd.Series:
     return patches.map(patch_edits)
@@ -165,28 +176,31 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         types = [batch.schema.field("project").type, batch.schema.field("commit_id").type, pa.string()]
         types += [types[1], pa.int64()]
-        for row in batch.to_pylist():
-            if (row["project"], row["family"]) != family:
-                family, commit, files, gone, made = (row["project"], row["family"]), None, {}, set(), {}
-            if (row["seq"], row["commit_id"]) != commit:
+        columns = [batch.column(c).to_pylist() for c in ("project", "family", "seq", "commit_id", "old", "new", "asked")]
+        edits, ends = batch.column("edits").flatten().to_pylist(), batch.column("edits").value_lengths().to_pylist()
+        start = 0
+        for project, of, seq, who, old, new, asked, length in zip(*columns, ends):
+            own, start = edits[start : start + (length or 0)], start + (length or 0)
+            if (project, of) != family:
+                family, commit, files, gone, made = (project, of), None, {}, set(), {}
+            if (seq, who) != commit:
                 for name in gone:
                     files.pop(name, None)
                 files.update(made)
-                commit, gone, made = (row["seq"], row["commit_id"]), set(), {}
-            old, new = row["old"], row["new"]
+                commit, gone, made = (seq, who), set(), {}
             before = files.get(old if old is not None else new, []) if old is not None or new not in gone else []
-            if row["asked"]:
-                owners: Counter = Counter()
-                for count, who in before:
-                    owners[who] += count
-                out += [(row["project"], row["commit_id"], new or old, who, n) for who, n in owners.items()]
+            if asked and before:
+                owners: dict[str | None, int] = {}
+                for count, owner in before:
+                    owners[owner] = owners.get(owner, 0) + count
+                out += [(project, who, new or old, owner, n) for owner, n in owners.items()]
             if new is None:
                 gone.add(old)
             else:
                 if old is not None and old != new:
                     gone.add(old)
                 # Several changes of one file in one commit follow each other.
-                made[new] = edited(made.get(new, before), row["edits"] or [], row["commit_id"])
+                made[new] = edited(made.get(new, before), own, who)
             if len(out) >= _BATCH:
                 yield _as_batch(out, names, types)
                 out = []
@@ -216,15 +230,19 @@ def label_by_replay(
     """
     labelled = label_fix(commits, message)
     fixes = labelled.filter("fix = 1").select("project", "commit_id")
+    owners = replay_blame(changes, fixes, seq=seq).filter("blamed is not null")
+    if files_per_fix is None:  # a path is relevant by itself
+        return _marked(labelled, owners.filter(text.file_is_relevant(F.col("file_path"), suffixes)))
     path = text.changed_path(F.col("old_path"), F.col("new_path"))
     touched = changes.join(fixes, ["project", "commit_id"], "left_semi").select(
         "project", "commit_id", F.struct("project", "commit_id").alias("fix_commit_id"),
         F.col("ordinal").alias("file_ordinal"), path.alias("file_path"),
     )
     wanted = szz_candidates(touched, suffixes, files_per_fix).select("project", "commit_id", "file_path").distinct()
-    owners = replay_blame(changes, fixes, seq=seq).filter("blamed is not null")
-    blamed = owners.join(wanted, ["project", "commit_id", "file_path"], "left_semi").select(
-        F.struct("project", F.col("blamed").alias("commit_id")).alias("_commit")
-    )
+    return _marked(labelled, owners.join(wanted, ["project", "commit_id", "file_path"], "left_semi"))
+
+
+def _marked(labelled: DataFrame, owners: DataFrame) -> DataFrame:
+    blamed = owners.select(F.struct("project", F.col("blamed").alias("commit_id")).alias("_commit"))
     marked = szz_label(labelled.withColumn("_commit", F.struct("project", "commit_id")), blamed, "_commit")
     return marked.drop("_commit")

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 
 import pytest
 
@@ -111,3 +112,39 @@ def test_labels_from_the_change_table(spark):
     assert {(r["project"], r["commit_id"], r["fix"], r["buggy"], r["extra"]) for r in found.collect()} == {
         ("p", "c1", 0, 0, 5), ("p", "c2", 0, 0, 6), ("p", "c3", 0, 1, 7), ("p", "c4", 1, 0, 8), ("q", "c3", 0, 0, 9)
     }
+
+
+def plain_edits(patch):
+    """Edits line by line."""
+    edits, old, old_left, new_left, open_edit = [], 0, 0, 0, False
+    for line in patch.split("\n"):
+        if old_left <= 0 and new_left <= 0:
+            if hunk := re.match(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,(\d+))? @@", line):
+                old_left, new_left = (1 if g is None else int(g) for g in hunk.group(2, 3))
+                old, open_edit = int(hunk.group(1)) - (1 if old_left else 0), False
+        elif line[:1] in ("+", "-"):
+            if not open_edit:
+                edits.append([old, 0, 0])
+            open_edit, drop = True, line[0] == "-"
+            edits[-1][1 if drop else 2] += 1
+            old, old_left, new_left = old + drop, old_left - drop, new_left - (not drop)
+        elif line[:1] != "\\":
+            old, old_left, new_left, open_edit = old + 1, old_left - 1, new_left - 1, False
+    return [number for edit in edits for number in edit]
+
+
+def test_edits_of_odd_patches():
+    dice = random.Random(3)
+    lines = ["+x", "+", "-y", "--- a", "+++ b", " z", "", "\\ no end", "@ at", "@@ -1 +1 @@", "@@ -3,2 +3,4 @@ f", "@@ -9,0 +2,3 @@", "\rq"]
+    for _ in range(3000):
+        patch = "\n".join(dice.choices(lines, k=dice.randint(0, 14)))
+        assert patch_edits(patch) == plain_edits(patch), patch
+    assert patch_edits("@@ -0,0 +1,300000 @@" + "\n+x" * 300_000) == [0, 0, 300_000]
+
+
+def test_labels_read_the_patches_once(spark):
+    """Relevance is a matter of the path alone, unless the files of a fix are counted."""
+    commits = spark.createDataFrame([("p", "c1", "fix")], "project string, commit_id string, message string")
+    changes = spark.createDataFrame([("p", "c1", 1, 0, None, "a.py", None, "x")], CHANGES).filter("ordinal <> 987654")
+    plans = [label_by_replay(commits, changes, (".py",), files_per_fix=n)._jdf.queryExecution().optimizedPlan().toString() for n in (None, 5)]
+    assert [plan.count("987654") for plan in plans] == [1, 2]
