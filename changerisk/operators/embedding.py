@@ -8,7 +8,8 @@ lives, over batches and tasks. Texts reach it in batches of bounded rows and byt
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from typing import Any
@@ -23,7 +24,7 @@ _STATES: dict[TextEncoder, Any] = {}
 _MOST_STATES = 4
 
 #: Words of a hashing encoder's memo.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ class HashingEncoder(TextEncoder):
     scaled: bool = True
     batch_rows: int = 1_000
 
-    def setup(self) -> dict[bytes, tuple[int, int]]:
+    def setup(self) -> dict[bytes, int]:
         return {}
 
     def place(self, word: bytes) -> tuple[int, int]:
@@ -69,8 +70,8 @@ class HashingEncoder(TextEncoder):
         digest = hashlib.md5(word, usedforsecurity=False).hexdigest()
         return int(digest[:8], 16) % self.size, -1 if int(digest[8], 16) % 2 else 1
 
-    def encode(self, state: dict[bytes, tuple[int, int]], texts: list[str]) -> np.ndarray:
-        places: list[tuple[int, int]] = []
+    def encode(self, state: dict[bytes, int], texts: list[str]) -> np.ndarray:
+        codes = array("q")  # twice the place, and one more for a minus
         counts = []
         for text in texts:
             words = text.encode().split()
@@ -82,11 +83,12 @@ class HashingEncoder(TextEncoder):
                 if found is None:
                     if len(state) >= MEMO_WORDS:
                         state.clear()
-                    found = state[word] = self.place(word)
-                places.append(found)
-        flat = np.array(places, "i8").reshape(-1, 2)
+                    place, sign = self.place(word)
+                    found = state[word] = 2 * place + (sign < 0)
+                codes.append(found)
+        flat = np.frombuffer(codes, "i8") if codes else np.empty(0, "i8")
         rows = np.repeat(np.arange(len(texts)), counts)
-        sums = np.bincount(rows * self.size + flat[:, 0], flat[:, 1], len(texts) * self.size)
+        sums = np.bincount(rows * self.size + flat // 2, 1.0 - 2 * (flat % 2), len(texts) * self.size)
         sums = sums.reshape(len(texts), self.size)
         if self.scaled:
             lengths = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
@@ -103,7 +105,7 @@ def state_of(encoder: TextEncoder) -> Any:
     return _STATES[encoder]
 
 
-def text_batches(texts: list[str], rows: int, size: int) -> Iterator[list[str]]:
+def text_batches(texts: Iterable[str], rows: int, size: int) -> Iterator[list[str]]:
     """Runs of at most ``rows`` texts and ``size`` bytes; a longer text is a run of its own."""
     batch: list[str] = []
     used = 0
@@ -118,19 +120,23 @@ def text_batches(texts: list[str], rows: int, size: int) -> Iterator[list[str]]:
         yield batch
 
 
+def encoded(encoder: TextEncoder, batch: pa.Array) -> Iterator[pa.Array]:
+    """Vectors of a batch in parts, each of the texts that the encoder gets at a time."""
+    state = state_of(encoder)
+    texts_of_batch = (text.as_py() or "" for text in batch)
+    for texts in text_batches(texts_of_batch, encoder.batch_rows, encoder.batch_bytes):
+        found = np.asarray(encoder.encode(state, texts), "f4")
+        if found.shape != (len(texts), encoder.size):
+            raise ValueError(f"{type(encoder).__name__} gave {found.shape} for {len(texts)} texts of {encoder.size} numbers")
+        offsets = np.arange(len(texts) + 1, dtype="i4") * encoder.size
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
+
+
 def _vectors(encoder: TextEncoder, text: Column) -> Column:
     @F.arrow_udf("array<float>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            state, parts = state_of(encoder), [np.empty((0, encoder.size), "f4")]
-            for texts in text_batches(batch.to_pylist(), encoder.batch_rows, encoder.batch_bytes):
-                found = np.asarray(encoder.encode(state, texts), "f4")
-                if found.shape != (len(texts), encoder.size):
-                    raise ValueError(f"{type(encoder).__name__} gave {found.shape} for {len(texts)} texts of {encoder.size} numbers")
-                parts.append(found)
-            flat = np.concatenate(parts).ravel()
-            offsets = np.arange(len(batch) + 1, dtype="i4") * encoder.size
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield from encoded(encoder, batch)
 
     return encode(text)
 

@@ -8,6 +8,7 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -232,6 +233,28 @@ def test_experiment_makes_only_wanted_sources_for_the_commits_that_tables_have(s
     assert made == [{f"c{i:03d}" for i in range(90)}]
 
 
+def test_vectors_come_in_bounded_parts():
+    """A task holds vectors of one encoder batch, not of all texts that it was sent."""
+    texts = pa.array([f"w{i} x" if i % 7 else None for i in range(2500)])
+    encoder = embedding.HashingEncoder(16)
+    parts = list(embedding.encoded(encoder, texts))
+    assert [len(part) for part in parts] == [1000, 1000, 500]
+    whole = encoder.encode(encoder.setup(), [text or "" for text in texts.to_pylist()]).astype("f4")
+    assert np.array_equal(np.concatenate([part.flatten().to_numpy() for part in parts]).reshape(2500, 16), whole)
+    assert list(embedding.encoded(encoder, texts[:0])) == []
+
+
+def test_a_memo_holds_few_words_at_a_time(monkeypatch):
+    monkeypatch.setattr(embedding, "MEMO_WORDS", 10)
+    encoder, state = embedding.HashingEncoder(16, scaled=False), {}
+    text = " ".join(f"w{i % 37}" for i in range(200))
+    expected = np.zeros(16)
+    for word in text.encode().split():
+        place, sign = encoder.place(word)
+        expected[place] += sign
+    assert np.array_equal(encoder.encode(state, [text])[0], expected) and len(state) <= 10
+
+
 def test_incremental_append_resumes(spark, tmp_path):
     source, output, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
     spark.range(0, 10).union(spark.range(5, 10)).withColumnRenamed("id", "commit_id").write.parquet(source)
