@@ -314,6 +314,15 @@ def test_batches_read_no_output(spark, tmp_path):
     assert spark.read.parquet(output).count() == 4000 and sum(again) >= 4000
 
 
+def test_state_of_keys_counts_no_rows(spark):
+    """A count of the rows in the store costs a look-up for each key that is written."""
+    name = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    before = spark.conf.get(name, None)
+    with incremental._keyed_state(spark):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name, None) == before
+
+
 def test_a_batch_that_fails_is_repeated_whole(spark, tmp_path):
     """The state of a failed batch is not kept, so the next run writes its keys."""
     source, output, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
