@@ -1,5 +1,7 @@
 """Sources and sinks."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from changerisk.functions.vectors import fold
@@ -96,7 +98,9 @@ def write_csv_quoted(t):
 def write_dataset(t):
     path = scratch_path(t.spark, "dataset")
     sinks.write_dataset(t.documents.select("doc_id", "lang", "text"), path)
-    df = t.spark.read.options(header=True, multiLine=True, escape='"').schema("doc_id bigint, lang string, text string").csv(path)
+    exact = {"lineSep": "\n", "charToEscapeQuoteEscaping": '"', "nullValue": uuid4().hex}  # no text is equal to it
+    reader = t.spark.read.options(header=True, multiLine=True, escape='"', **exact)
+    df = reader.schema("doc_id bigint, lang string, text string").csv(path)
     return df.select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 

@@ -1,6 +1,7 @@
 """Cleaning, sampling, splitting, order statistics, sources."""
 
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from changerisk.errors import ChangeRiskError, EmptyInputError, MissingColumnsError, SchemaMismatchError
 from changerisk.operators import clean, joins, ordering, profile, sampling, selection, split
 from changerisk.operators.history import commit_time
+from changerisk.plans.catalog import QUERIES
 from changerisk.sources import sinks, tables
 
 
@@ -276,3 +278,23 @@ def test_csv_round_trips(spark, tmp_path):
     assert tables.load_optional(spark, str(tmp_path / "none")) is None
     with pytest.raises(SchemaMismatchError):
         tables.validate_schema(df)
+
+
+ODD_TEXTS = (
+    ["", None, " ", " pad ", "\ttab\t", "\n", "\na\n", "a\rb", "\r", "end\r", "\r\n", "a\r\nb\n", "\\", 'a\\"b', '"', '""', 'say "hi"', '"\n"']
+    + ["x,y", "\x00", '"\x00"', "\uffff", "\ue000b\uffff,\ue000a", "\ufeffbom", "\x1c x", "\u3000", "null", "'", "#", "word " * 1000]
+)
+
+
+def odd_documents(spark, folder):
+    """What ``documents`` may hold, in one file, and the MD5 of each text."""
+    langs = ["en", "", None, " fr ", '"d",e']
+    rows = [(i, text, langs[i % 5], None if text is None else len(text)) for i, text in enumerate(ODD_TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars bigint")
+    df.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return {(i, lang, None if text is None else hashlib.md5(text.encode()).hexdigest(), size) for i, text, lang, size in rows}
+
+
+def test_odd_texts_are_written_as_they_are(spark, tmp_path):
+    expected = odd_documents(spark, tmp_path)
+    assert {tuple(r) for r in QUERIES["write_dataset"](spark, str(tmp_path)).collect()} == {row[:3] for row in expected}
