@@ -117,5 +117,5 @@ def load_commits_csv(t):
     path = scratch_path(t.spark, "dataset")
     sinks.write_dataset(t.documents.select("doc_id", "lang", "text", "n_chars"), path)
     schema = "doc_id bigint, lang string, text string, n_chars bigint"
-    df = tables.load_commits(t.spark, path, schema=schema, required=["doc_id"], date_columns=())
+    df = tables.load_commits(t.spark, path, schema=schema, required=["doc_id"], date_columns=(), empty_texts=True)
     return df.select("doc_id", "lang", F.md5("text").alias("text_md5"), "n_chars")

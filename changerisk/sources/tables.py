@@ -69,16 +69,18 @@ def load_commits(
     date_columns: Sequence[str] = ("author_date",),
     rows: int | None = None,
     rename: dict[str, Column] | None = None,
+    empty_texts: bool = False,
 ) -> DataFrame:
     """Read a commit table, check its columns and parse its dates.
 
     Parquet is the format to keep tables in. CSV cells hold line breaks; such files are read by as
     many tasks as they have splits (``quoted_csv``). Text formats need a ``schema`` (or are read as
     strings by header name). ``rename`` derives columns from others before the check; ``rows`` keeps only that many
-    rows, whichever are read first, for a look at a table.
+    rows, whichever are read first, for a look at a table. ``empty_texts`` tells quoted empty cells of a CSV, as
+    ``write_dataset`` writes empty texts, from missing ones.
     """
     if source_format == "csv":
-        df = read_quoted_csv(spark, path, schema)
+        df = read_quoted_csv(spark, path, schema, empty_texts)
     else:
         reader = spark.read.format(source_format)
         df = (reader if schema is None else reader.schema(schema)).load(path)
