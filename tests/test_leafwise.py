@@ -82,6 +82,23 @@ def test_equal_rows_are_one(spark, monkeypatch):
     assert found == plain_boost(x, y, np.ones(840), growth)[1] and max(asked) <= 42
 
 
+@pytest.mark.parametrize("growth", [Growth(2, 0.3, 6, 64, 3), Growth(4, 1.0, 3, 4, 1, penalty=2.0), Growth(3, 0.5, 31, 64, 20)])
+def test_one_task_grows_the_same_trees(spark, monkeypatch, growth):
+    dice = random.Random(growth.rounds)
+    rows = []
+    for _ in range(400):
+        a, b, c = dice.randrange(9), dice.choice([0.0, 0.25, float("nan")]), dice.randrange(40) // 39 * 1.0
+        rows.append(([float(a), b, c], float((a > 4) ^ (b == 0.25) ^ (dice.random() < 0.1)), dice.choice([1.0, 2.5])))
+    df = spark.createDataFrame(rows, "f array<double>, label double, weight double").withColumn("features", array_to_vector("f"))
+    fitted = [LeafwiseBoosting(cells, **growth.__dict__).setParams(weightCol="weight").fit(df) for cells in (0, 1200)]
+    assert len(fitted[0].trees) == len(fitted[1].trees) > 1
+    for one, other in zip(*(model.trees for model in fitted)):
+        assert (one.feature, one.cut, one.threshold, one.left, one.right) == (other.feature, other.cut, other.threshold, other.left, other.right)
+        assert one.value == pytest.approx(other.value, abs=1e-9) and one.gain == pytest.approx(other.gain, abs=1e-9)
+    monkeypatch.setattr(leafwise, "best_splits", None)  # few cells need no Spark job for a split
+    assert LeafwiseBoosting(1200, **growth.__dict__).setParams(weightCol="weight").fit(df.repartition(3)).trees
+
+
 def test_odd_tables(spark, tmp_path):
     schema = "f array<double>, label double"
     one_kind = spark.createDataFrame([([1.0], 1.0)] * 30, schema).withColumn("features", array_to_vector("f"))

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from changerisk.errors import ChangeRiskError
 from changerisk.operators import embedding, fusion, metrics, models, pca, selection, vectors
+from changerisk.operators.leafwise import LeafwiseBoosting
+from changerisk.plans.catalog import learning
+from changerisk.plans.catalog.registry import Tables
 from changerisk.plans.experiment import run_experiment
 from changerisk.runtime import remove_path
 from changerisk.streaming import incremental
@@ -233,6 +236,13 @@ def test_experiment_makes_only_wanted_sources_for_the_commits_that_tables_have(s
     assert made == [{f"c{i:03d}" for i in range(90)}]
 
 
+def test_the_leafwise_query_trains_at_full_size(spark):
+    model, _ = learning.fitted(Tables(spark, "/root/testdata/sf0.001"), "boosted_trees_fine")
+    assert len(model.trees) == LeafwiseBoosting().growth.rounds == 100
+    # Both labels are frequent, so leaves of the first tree move by about twice the rate, 0.1.
+    assert max(abs(value) for value in model.trees[0].value) < 0.4
+
+
 def test_vectors_come_in_bounded_parts():
     """A task holds vectors of one encoder batch, not of all texts that it was sent."""
     texts = pa.array([f"w{i} x" if i % 7 else None for i in range(2500)])
