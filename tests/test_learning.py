@@ -236,6 +236,26 @@ def test_experiment_makes_only_wanted_sources_for_the_commits_that_tables_have(s
     assert made == [{f"c{i:03d}" for i in range(90)}]
 
 
+def test_an_experiment_trains_on_all_rows_unless_asked_for_a_sample(spark):
+    number = F.col("id")
+    commits = spark.range(13_000).select(
+        F.format_string("c%05d", number).alias("commit_id"), F.lit("p").alias("project"),
+        F.timestamp_seconds(1_550_000_000 + number * 60).alias("author_date"), (number % 2).cast("int").alias("buggy"), (number % 2).alias("la"),
+    )
+    params = {"random_forest": {"num_trees": 2, "max_depth": 2}, "boosted_trees": {"rounds": 1, "max_depth": 2}}
+    for options, rows in (({}, 10_400), ({"target_rows": 500}, 500)):
+        outcome = run_experiment(1, commits, {"metrics": (None, ["la"])}, params=params, **options)
+        assert {r["side"]: r["rows"] for r in outcome.split.groupBy("side").agg(F.sum("rows").alias("rows")).collect()} == {"train": rows, "test": 2600}
+
+
+def test_the_query_of_metrics_and_reasoning_trains_on_all_rows_at_full_size(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(learning, "run_experiment", lambda *args, **options: (asked.append(options), run_experiment)[1])
+    with pytest.raises(AttributeError):  # no outcome
+        learning.experiment_metrics_reasoning(Tables(spark, "/root/testdata/sf0.001"))
+    assert asked == [{"first_year": 1995, "last_year": 2001}]
+
+
 def test_the_leafwise_query_trains_at_full_size(spark):
     model, _ = learning.fitted(Tables(spark, "/root/testdata/sf0.001"), "boosted_trees_fine")
     assert len(model.trees) == LeafwiseBoosting().growth.rounds == 100
